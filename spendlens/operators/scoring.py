@@ -9,6 +9,10 @@ quirk).  It is computed without a global window over the rows:
    per-range totals (one row per range, a bounded broadcast) give the number
    of rows strictly below each value;
 3. the ranks join back to the rows on the value (null-safe).
+
+Inputs of at most ``SINGLE_TASK_RANK_ROWS`` rows (checked by a count on the
+materialised input) take the plain window form instead: for a channel or
+campaign summary that is a handful of stages instead of a dozen.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.numeric import nan_to_null
+from spendlens.session import materialize
 from spendlens.schema import SCORE_WEIGHT_CVR, SCORE_WEIGHT_ROAS, UNDERPERFORM_ROAS
 
 Dims = Sequence[str]
@@ -53,11 +58,40 @@ def value_ranks(values: DataFrame, col: str, out: str,
     return j.select("__v", (avg_rank / F.col("__n").cast("double")).alias(out))
 
 
-def pct_rank_avg(df: DataFrame, col: str, out: str,
-                 parts: int | None = None) -> DataFrame:
-    """``df`` plus ``out`` = average-ties percentile rank of ``col``."""
+# Above this many rows the rank leaves the single-task window form.
+SINGLE_TASK_RANK_ROWS = 1_000_000
+
+
+def _v(col: str) -> Column:
+    return nan_to_null(F.col(col).cast("double"))
+
+
+def window_pct_rank(col: str) -> Column:
+    """Average-ties percentile rank as window expressions over all rows.
+
+    Global windows run in one task: use only on inputs of checked size."""
+    v = _v(col)
+    rank = F.rank().over(Window.orderBy(v.asc_nulls_last())).cast("double")
+    ties = F.count(F.lit(1)).over(Window.partitionBy(v)).cast("double")
+    n = F.count(F.lit(1)).over(Window.partitionBy()).cast("double")
+    return ((rank - F.lit(1.0)) + (ties + F.lit(1.0)) / F.lit(2.0)) / n
+
+
+def pct_rank_avg(df: DataFrame, col: str, out: str, parts: int | None = None,
+                 method: str = "auto",
+                 max_single_task_rows: int = SINGLE_TASK_RANK_ROWS) -> DataFrame:
+    """``df`` plus ``out`` = average-ties percentile rank of ``col``.
+
+    ``method="auto"`` counts the rows (callers pass a materialised, small
+    input such as a summary) and uses the window form up to
+    ``max_single_task_rows`` rows, the range-partitioned form beyond.
+    """
+    if method == "auto":
+        method = "window" if df.count() <= max_single_task_rows else "range"
+    if method == "window":
+        return df.withColumn(out, window_pct_rank(col))
     ranks = value_ranks(df, col, out, parts)
-    base = df.withColumn("__v", nan_to_null(F.col(col).cast("double")))
+    base = df.withColumn("__v", _v(col))
     return base.join(ranks, base["__v"].eqNullSafe(ranks["__v"])) \
         .drop(ranks["__v"]).drop("__v")
 
@@ -79,7 +113,8 @@ def score_expr(r_roas: Column, r_cvr: Column) -> Column:
 
 
 def efficiency_score(summary: DataFrame, dims: Dims = ("channel",),
-                     parts: int | None = None, sort: bool = True) -> DataFrame:
+                     parts: int | None = None, sort: bool = True,
+                     checkpoint: bool = True, method: str = "auto") -> DataFrame:
     """M7: 0-100 score from ROAS and conversion-rate percentile ranks.
 
     Missing ``roas`` / ``conversion_rate`` columns give a constant 0.0 score
@@ -88,8 +123,14 @@ def efficiency_score(summary: DataFrame, dims: Dims = ("channel",),
     if "roas" not in summary.columns or "conversion_rate" not in summary.columns:
         return summary.withColumn("efficiency_score", F.lit(0.0))
     cols = summary.columns
-    ranked = pct_rank_avg(summary, "roas", "__r_roas", parts)
-    ranked = pct_rank_avg(ranked, "conversion_rate", "__r_cvr", parts)
+    if checkpoint:
+        # the summary is read three times below (two value-rank jobs and the
+        # row join); materialise it once instead of re-running its scans
+        summary = materialize(summary)
+    if method == "auto":
+        method = "window" if summary.count() <= SINGLE_TASK_RANK_ROWS else "range"
+    ranked = pct_rank_avg(summary, "roas", "__r_roas", parts, method)
+    ranked = pct_rank_avg(ranked, "conversion_rate", "__r_cvr", parts, method)
     out = ranked.select(*cols, score_expr(F.col("__r_roas"), F.col("__r_cvr"))
                         .alias("efficiency_score"))
     if sort:

@@ -73,3 +73,15 @@ def local_path(uri: str) -> str:
         while uri.startswith("//"):
             uri = uri[1:]
     return os.path.abspath(uri)
+
+
+def materialize(df):
+    """Reliable checkpoint (files under the shared checkpoint root).
+
+    Used for small intermediate results read several times in one plan
+    (e.g. a summary that is ranked twice and re-aggregated): it cuts the
+    lineage back to the scans and survives executor loss, unlike a local
+    checkpoint.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
