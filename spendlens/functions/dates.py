@@ -3,6 +3,9 @@
 Each accepted layout is one guarded arm: a regular expression decides whether
 the pattern may be tried, ``try_to_timestamp`` parses it, and the first arm
 that yields a value wins.  Failures and impossible dates give NULL.
+
+Two-digit years use a fixed window (69-99 -> 19xx, 00-68 -> 20xx) instead of
+one that moves with the clock, so a re-run gives the same dates.
 """
 
 from __future__ import annotations
@@ -10,31 +13,51 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# FIXED VALUES: ordered (guard, pattern) arms.  Month-first before day-first
-# for slashed dates, so 08/09/2024 is 9 August and 13/08/2024 is 13 August.
-DATE_ARMS: list[tuple[str, str]] = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:mm:ss"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}$", "yyyy-M-d H:mm"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", "d-MMM-yy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
-    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^\d{8}$", "yyyyMMdd"),
+# FIXED VALUES: ordered (guard, Spark pattern, strptime pattern) arms.
+# Month-first before day-first for slashed dates, so 08/09/2024 is 9 August
+# and 13/08/2024 is 13 August.  Arms ending in a 2-digit year are listed
+# with their 4-digit pattern; the year is widened before parsing.
+DATE_ARMS: list[tuple[str, str, str]] = [
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d", "%Y-%m-%d"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:mm:ss", "%Y-%m-%d %H:%M:%S"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$", "yyyy-M-d H:mm", "%Y-%m-%d %H:%M"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d", "%Y/%m/%d"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy", "%d-%b-%Y"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy", "%m/%d/%Y"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy", "%d/%m/%Y"),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy", "%B %d, %Y"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy", "%b %d, %Y"),
+    (r"^\d{8}$", "yyyyMMdd", "%Y%m%d"),
+]
+# FIXED VALUES: layouts with a trailing 2-digit year, widened to 4 digits.
+SHORT_YEAR_ARMS: list[tuple[str, str, str]] = [
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", "d-MMM-yyyy", "%d-%b-%Y"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yyyy", "%m/%d/%Y"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yyyy", "%d/%m/%Y"),
 ]
+SHORT_YEAR_PIVOT = 69
+
+
+def clean_date_text(c: Column) -> Column:
+    """Trim and turn an ISO 'T' separator into a blank."""
+    return F.regexp_replace(F.trim(c.cast("string")), r"^(\d{4}-\d{1,2}-\d{1,2})T", "$1 ")
+
+
+def widen_year(s: Column) -> Column:
+    """'23-Aug-95' -> '23-Aug-1995' (69-99 -> 19xx, 00-68 -> 20xx)."""
+    yy = F.substring(s, -2, 2)
+    century = F.when(yy.cast("int") >= SHORT_YEAR_PIVOT, F.lit("19")).otherwise(F.lit("20"))
+    return F.concat(F.regexp_replace(s, r"\d{2}$", ""), century, yy)
 
 
 def parse_dates(c) -> Column:
     """Text -> timestamp_ntz (wall clock, no zone); NULL when no arm parses."""
     c = F.col(c) if isinstance(c, str) else c
-    s = F.trim(c.cast("string"))
-    s = F.regexp_replace(s, "T", " ")
+    s = clean_date_text(c)
     arms = [F.when(s.rlike(rx), F.try_to_timestamp(s, F.lit(fmt)))
-            for rx, fmt in DATE_ARMS]
+            for rx, fmt, _ in DATE_ARMS]
+    arms += [F.when(s.rlike(rx), F.try_to_timestamp(widen_year(s), F.lit(fmt)))
+             for rx, fmt, _ in SHORT_YEAR_ARMS]
     return F.coalesce(*arms).cast("timestamp_ntz")
 
 

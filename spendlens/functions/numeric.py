@@ -11,7 +11,8 @@ from spendlens.schema import NA_TOKENS
 # blanks, or an infinity.  Guards try_cast, which alone would also accept
 # Java-style suffixes such as "12d".
 NUMBER_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-INF_RE = r"^\s*[+-]?(?i)(inf|infinity)\s*$"
+# FIXED VALUES: spellings of infinity the reader accepts.
+INF_TOKENS = ["inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
 
 
 def _c(c) -> Column:
@@ -33,7 +34,7 @@ def nan_to_null(c) -> Column:
 def coerce_numeric(c) -> Column:
     """Text -> double; anything unparseable, missing or NaN -> 0.0."""
     c = _c(c).cast("string")
-    parsed = F.when(~is_na_token(c) & (c.rlike(NUMBER_RE) | c.rlike(INF_RE)),
+    parsed = F.when(~is_na_token(c) & (c.rlike(NUMBER_RE) | F.lower(F.trim(c)).isin(INF_TOKENS)),
                     c.try_cast("double"))
     return F.coalesce(nan_to_null(parsed), F.lit(0.0))
 

@@ -124,6 +124,8 @@ def analytics_queries() -> dict[str, Query]:
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(analytics_queries())
+    from spendlens.plans.ingest_catalog import ingest_queries
+    out.update(ingest_queries())
     return out
 
 
@@ -131,6 +133,8 @@ def oracle_sql() -> dict[str, str]:
     from spendlens.plans.oracle import analytics_sql
     out: dict[str, str] = {}
     out.update(analytics_sql())
+    from spendlens.plans.ingest_oracle import ingest_sql
+    out.update(ingest_sql())
     return {k: v for k, v in out.items() if k in queries()}
 
 

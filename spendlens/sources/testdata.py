@@ -92,7 +92,8 @@ def _money_text(cents: Column) -> Column:
                     F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
-def raw_rows(spark: SparkSession, sf_dir: str, platform: str) -> DataFrame:
+def raw_rows(spark: SparkSession, sf_dir: str, platform: str,
+             keep_priority: bool = False) -> DataFrame:
     """One raw export (all text) in ``platform``'s layout over all rows.
 
     Columns: the platform's exact header names plus ``_source`` and ``_row``
@@ -138,8 +139,98 @@ def raw_rows(spark: SparkSession, sf_dir: str, platform: str) -> DataFrame:
     values = {"date": date_txt, "campaign_name": campaign, "spend": spend,
               "clicks": clicks, "impressions": impressions,
               "conversions": conversions, "revenue": revenue}
+    extra = [F.col("o_orderpriority").alias("__prio"),
+             F.col("l_returnflag").alias("__notes")] if keep_priority else []
     return j.select(
         *[values[u].alias(raw) for u, raw in cols.items()],
         F.lit(f"raw_{platform}").alias("_source"),
         (F.col("l_orderkey") * 10 + ln).cast("bigint").alias("_row"),
+        *extra,
     )
+
+
+# FIXED VALUES: strftime equivalents of RAW_DATE_FORMATS (for SQL checks).
+RAW_DATE_STRFTIME = {
+    "google_ads": ("%Y-%m-%d", "%Y%m%d"),
+    "facebook": ("%m/%d/%Y", "%d/%m/%Y"),
+    "email": ("%d-%b-%Y", "%d-%b-%y"),
+    "seo": ("%Y/%m/%d", "%b %-d, %Y"),
+}
+
+# FIXED VALUES: header variant of an export file, chosen by its campaign
+# (order priority): exact header, one extra column, upper-cased names,
+# 5 of 7 columns (spend and revenue dropped), 4 of 7 columns.
+HEADER_VARIANTS = {
+    "1-URGENT": "exact",
+    "2-HIGH": "extra",
+    "3-MEDIUM": "upper",
+    "4-NOT SPECIFIED": "five",
+    "5-LOW": "four",
+}
+EXTRA_COLUMN = "Notes"
+
+
+def variant_columns(platform: str, variant: str) -> list[tuple[str | None, str]]:
+    """(unified column or None for the extra column, header name) in order."""
+    cols = list(PLATFORM_COLUMNS[platform].items())
+    if variant == "exact":
+        return cols
+    if variant == "extra":
+        return cols + [(None, EXTRA_COLUMN)]
+    if variant == "upper":
+        return [(u, n.upper()) for u, n in cols]
+    if variant == "five":
+        return [(u, n) for u, n in cols if u not in ("spend", "revenue")]
+    if variant == "four":
+        return [(u, n) for u, n in cols if u in ("date", "campaign_name", "clicks", "impressions")]
+    raise ValueError(variant)
+
+
+def _slug(s: str) -> str:
+    return s.replace(" ", "_")
+
+
+def header_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header table derived from the tables: one 'file' per (platform,
+    campaign, ship year) present in the data, its header names following
+    the campaign's variant.  Columns: file, names (array<string>)."""
+    keys = order_lines(spark, sf_dir).select(
+        "o_orderpriority", F.year("l_shipdate").alias("yr")).distinct()
+    layout = spark.createDataFrame(
+        [(p, prio, [n for _, n in variant_columns(p, v)])
+         for p in PLATFORMS for prio, v in HEADER_VARIANTS.items()],
+        "platform string, o_orderpriority string, names array<string>")
+    j = keys.join(F.broadcast(layout), "o_orderpriority")
+    return j.select(
+        F.concat(F.lit("raw_"), F.col("platform"), F.lit("_"),
+                 F.regexp_replace("o_orderpriority", " ", "_"), F.lit("_"),
+                 F.col("yr").cast("string"), F.lit(".csv")).alias("file"),
+        "names")
+
+
+def write_exports(spark: SparkSession, sf_dir: str, out_dir: str,
+                  variants: bool = True) -> list[str]:
+    """Write every raw export as CSV under ``out_dir`` and return the
+    directories written.  With ``variants`` each platform's rows are split
+    by campaign into files whose header follows ``HEADER_VARIANTS``; every
+    row is written exactly once either way."""
+    from spendlens.session import materialize
+    written = []
+    for platform in PLATFORMS:
+        raw = materialize(raw_rows(spark, sf_dir, platform, keep_priority=True))
+        if not variants:
+            d = f"{out_dir}/{platform}"
+            (raw.select(*[F.col(f"`{n}`") for n in PLATFORM_COLUMNS[platform].values()])
+                .write.option("header", True).option("escape", '"').csv(d))
+            written.append(d)
+            continue
+        for prio, v in HEADER_VARIANTS.items():
+            d = f"{out_dir}/{platform}_{_slug(prio)}"
+            cols = []
+            for u, name in variant_columns(platform, v):
+                src = F.col("__notes") if u is None else F.col(f"`{PLATFORM_COLUMNS[platform][u]}`")
+                cols.append(src.alias(name))
+            (raw.where(F.col("__prio") == prio).select(*cols)
+                .write.option("header", True).option("escape", '"').csv(d))
+            written.append(d)
+    return written
