@@ -62,20 +62,17 @@ def _detected(spark, sf):
     return h.join(detect.detect_platform(h), "file")
 
 
-def _exports_dir(spark, sf, variants=True):
-    d = shared_dir(spark, "exports")
-    write_exports(spark, sf, d, variants)
-    return d
+def _exports(spark, sf, variants=True):
+    """Write the exports and return the folders (a folder list, not a glob)."""
+    return write_exports(spark, sf, shared_dir(spark, "exports"), variants)
 
 
 def _csv_scan(spark, sf):
-    d = _exports_dir(spark, sf)
-    return read_exports(spark, f"{d}/*/*.csv").facts.select(*FACT_COLUMNS)
+    return read_exports(spark, _exports(spark, sf)).facts.select(*FACT_COLUMNS)
 
 
 def _file_rejects(spark, sf):
-    d = _exports_dir(spark, sf)
-    rej = read_exports(spark, f"{d}/*/*.csv").rejects
+    rej = read_exports(spark, _exports(spark, sf)).rejects
     # folder name identifies platform and campaign variant; part-file names vary
     return (rej.select(F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1).alias("export"),
                        "stage", "reason")
@@ -84,14 +81,13 @@ def _file_rejects(spark, sf):
 
 
 def _file_headers(spark, sf):
-    d = _exports_dir(spark, sf)
-    h = file_headers(spark, f"{d}/*/*.csv")
+    h = file_headers(spark, _exports(spark, sf))
     return h.select(F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1).alias("export"),
                     "header").distinct()
 
 
 def _incremental(spark, sf):
-    landing = _exports_dir(spark, sf, variants=False)
+    landing = _exports(spark, sf, variants=False)[0].rsplit("/", 1)[0]
     base = shared_dir(spark, "ingest")
     paths = IngestPaths(landing, f"{base}/facts", f"{base}/rejects", f"{base}/_checkpoint")
     incremental_ingest(spark, paths)
