@@ -50,10 +50,15 @@ def widen_year(s: Column) -> Column:
     return F.concat(F.regexp_replace(s, r"\d{2}$", ""), century, yy)
 
 
-def parse_dates(c) -> Column:
-    """Text -> timestamp_ntz (wall clock, no zone); NULL when no arm parses."""
+def parse_dates(c, cleaned: bool = False) -> Column:
+    """Text -> timestamp_ntz (wall clock, no zone); NULL when no arm parses.
+
+    The text is referenced by every arm; pass a column that is already
+    ``clean_date_text`` output (``cleaned=True``), computed in an earlier
+    projection, so it is evaluated once per row, not once per arm.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    s = clean_date_text(c)
+    s = c if cleaned else clean_date_text(c)
     arms = [F.when(s.rlike(rx), F.try_to_timestamp(s, F.lit(fmt)))
             for rx, fmt, _ in DATE_ARMS]
     arms += [F.when(s.rlike(rx), F.try_to_timestamp(widen_year(s), F.lit(fmt)))

@@ -36,7 +36,7 @@ def coerce_numeric(c) -> Column:
     c = _c(c).cast("string")
     parsed = F.when(~is_na_token(c) & (c.rlike(NUMBER_RE) | F.lower(F.trim(c)).isin(INF_TOKENS)),
                     c.try_cast("double"))
-    return F.coalesce(nan_to_null(parsed), F.lit(0.0))
+    return F.coalesce(F.nanvl(parsed, F.lit(None).cast("double")), F.lit(0.0))
 
 
 def to_count(c) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.dates import parse_dates
+from spendlens.functions.dates import clean_date_text, parse_dates
 from spendlens.functions.numeric import (coerce_numeric, is_na_token,
                                          round_money, to_count)
 from spendlens.schema import (FACT_COLUMNS, MISSING_TEXT, PLATFORM_COLUMNS,
@@ -63,13 +63,20 @@ def normalize(raw: DataFrame, platform: str, strict_headers: bool = True) -> Dat
     Lineage columns ``_source`` / ``_row`` are carried when present.
     """
     cols = resolve_columns(raw.columns, platform, strict_headers)
+    lineage = [F.col(c) for c in LINEAGE if c in raw.columns]
+    # Projection boundary: each raw text is computed once here and then
+    # referenced by several guards/casts below (Catalyst keeps the two
+    # projections apart because the producers are not cheap to repeat).
+    staged = raw.select(
+        *[F.col(f"`{cols[u]}`").cast("string").alias(f"__{u}") for u in cols if u != "date"],
+        clean_date_text(F.col(f"`{cols['date']}`")).alias("__date"), *lineage)
 
     def r(u):
-        return F.col(f"`{cols[u]}`")
+        return F.col(f"__{u}")
 
-    camp = r("campaign_name").cast("string")
+    camp = r("campaign_name")
     out = [
-        parse_dates(r("date")).alias("date"),
+        parse_dates(r("date"), cleaned=True).alias("date"),
         F.lit(platform).alias("channel"),
         F.when(is_na_token(camp), F.lit(MISSING_TEXT)).otherwise(camp).alias("campaign_name"),
         round_money(coerce_numeric(r("spend"))).alias("spend"),
@@ -79,7 +86,7 @@ def normalize(raw: DataFrame, platform: str, strict_headers: bool = True) -> Dat
         round_money(coerce_numeric(r("revenue"))).alias("revenue"),
     ]
     out += [F.col(c) for c in LINEAGE if c in raw.columns]
-    return raw.select(*out)
+    return staged.select(*out)
 
 
 def normalize_all(raws: dict[str, DataFrame] | list[tuple[str, DataFrame]],

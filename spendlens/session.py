@@ -15,6 +15,14 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Broadcast decisions are taken by AQE on measured shuffle sizes only:
+    # static estimates (no CBO) can make a large fact scan look small.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+    # Fall back from whole-stage codegen when a generated method would be
+    # too large for the JVM to JIT-compile (8000 bytes); such methods would
+    # otherwise run in the bytecode interpreter (wide parse projections).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -39,7 +47,10 @@ def get_spark(master: str | None = None, app: str = "spendlens",
         b = b.config(k, v)
     spark = b.getOrCreate()
     # runtime-settable keys also applied to a reused session
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for k in ("spark.sql.session.timeZone", "spark.sql.autoBroadcastJoinThreshold",
+              "spark.sql.adaptive.autoBroadcastJoinThreshold",
+              "spark.sql.codegen.hugeMethodLimit"):
+        spark.conf.set(k, conf[k])
     return spark
 
 
