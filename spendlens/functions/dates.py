@@ -17,23 +17,27 @@ from pyspark.sql import functions as F
 # Month-first before day-first for slashed dates, so 08/09/2024 is 9 August
 # and 13/08/2024 is 13 August.  Arms ending in a 2-digit year are listed
 # with their 4-digit pattern; the year is widened before parsing.
+_MO = r"(0?[1-9]|1[0-2])"          # month 1-12
+_DY = r"(0?[1-9]|[12]\d|3[01])"    # day 1-31
+_MN = r"[A-Za-z]{3}"
+
 DATE_ARMS: list[tuple[str, str, str]] = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d", "%Y-%m-%d"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:mm:ss", "%Y-%m-%d %H:%M:%S"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$", "yyyy-M-d H:mm", "%Y-%m-%d %H:%M"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d", "%Y/%m/%d"),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy", "%d-%b-%Y"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy", "%m/%d/%Y"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy", "%d/%m/%Y"),
-    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy", "%B %d, %Y"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy", "%b %d, %Y"),
-    (r"^\d{8}$", "yyyyMMdd", "%Y%m%d"),
+    (rf"^\d{{4}}-{_MO}-{_DY}$", "yyyy-M-d", "%Y-%m-%d"),
+    (rf"^\d{{4}}-{_MO}-{_DY} \d{{1,2}}:\d{{2}}:\d{{2}}$", "yyyy-M-d H:mm:ss", "%Y-%m-%d %H:%M:%S"),
+    (rf"^\d{{4}}-{_MO}-{_DY} \d{{1,2}}:\d{{2}}$", "yyyy-M-d H:mm", "%Y-%m-%d %H:%M"),
+    (rf"^\d{{4}}/{_MO}/{_DY}$", "yyyy/M/d", "%Y/%m/%d"),
+    (rf"^{_DY}-{_MN}-\d{{4}}$", "d-MMM-yyyy", "%d-%b-%Y"),
+    (rf"^{_MO}/{_DY}/\d{{4}}$", "M/d/yyyy", "%m/%d/%Y"),
+    (rf"^{_DY}/{_MO}/\d{{4}}$", "d/M/yyyy", "%d/%m/%Y"),
+    (rf"^[A-Za-z]{{4,9}} {_DY}, \d{{4}}$", "MMMM d, yyyy", "%B %d, %Y"),
+    (rf"^{_MN} {_DY}, \d{{4}}$", "MMM d, yyyy", "%b %d, %Y"),
+    (r"^\d{4}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$", "yyyyMMdd", "%Y%m%d"),
 ]
 # FIXED VALUES: layouts with a trailing 2-digit year, widened to 4 digits.
 SHORT_YEAR_ARMS: list[tuple[str, str, str]] = [
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", "d-MMM-yyyy", "%d-%b-%Y"),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yyyy", "%m/%d/%Y"),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yyyy", "%d/%m/%Y"),
+    (rf"^{_DY}-{_MN}-\d{{2}}$", "d-MMM-yyyy", "%d-%b-%Y"),
+    (rf"^{_MO}/{_DY}/\d{{2}}$", "M/d/yyyy", "%m/%d/%Y"),
+    (rf"^{_DY}/{_MO}/\d{{2}}$", "d/M/yyyy", "%d/%m/%Y"),
 ]
 SHORT_YEAR_PIVOT = 69
 
