@@ -34,12 +34,18 @@ def _range_parts(spark_df: DataFrame) -> int:
     return int(conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _order(c: Column, nulls: str) -> Column:
+    if nulls not in ("best", "worst"):
+        raise ValueError("nulls must be 'best' or 'worst'")
+    return c.asc_nulls_last() if nulls == "best" else c.asc_nulls_first()
+
+
 def value_ranks(values: DataFrame, col: str, out: str,
-                parts: int | None = None) -> DataFrame:
+                parts: int | None = None, nulls: str = "best") -> DataFrame:
     """Distinct (value, pct_rank) pairs for column ``col`` of ``values``."""
     v = nan_to_null(F.col(col).cast("double")).alias("__v")
     counts = values.select(v).groupBy("__v").agg(F.count(F.lit(1)).alias("__k"))
-    order = F.col("__v").asc_nulls_last()
+    order = _order(F.col("__v"), nulls)
     p = parts or _range_parts(values)
     ranged = counts.repartitionByRange(p, order).withColumn("__p", F.spark_partition_id())
     # rows strictly below each value inside its range
@@ -66,12 +72,12 @@ def _v(col: str) -> Column:
     return nan_to_null(F.col(col).cast("double"))
 
 
-def window_pct_rank(col: str) -> Column:
+def window_pct_rank(col: str, nulls: str = "best") -> Column:
     """Average-ties percentile rank as window expressions over all rows.
 
     Global windows run in one task: use only on inputs of checked size."""
     v = _v(col)
-    rank = F.rank().over(Window.orderBy(v.asc_nulls_last())).cast("double")
+    rank = F.rank().over(Window.orderBy(_order(v, nulls))).cast("double")
     ties = F.count(F.lit(1)).over(Window.partitionBy(v)).cast("double")
     n = F.count(F.lit(1)).over(Window.partitionBy()).cast("double")
     return ((rank - F.lit(1.0)) + (ties + F.lit(1.0)) / F.lit(2.0)) / n
@@ -79,9 +85,13 @@ def window_pct_rank(col: str) -> Column:
 
 def pct_rank_avg(df: DataFrame, col: str, out: str, parts: int | None = None,
                  method: str = "auto",
-                 max_single_task_rows: int = SINGLE_TASK_RANK_ROWS) -> DataFrame:
+                 max_single_task_rows: int = SINGLE_TASK_RANK_ROWS,
+                 nulls: str = "best") -> DataFrame:
     """``df`` plus ``out`` = average-ties percentile rank of ``col``.
 
+    ``nulls="best"`` ranks NULL/NaN above every value (the behaviour being
+    reproduced); ``nulls="worst"`` ranks them below every value.
+
     ``method="auto"`` counts the rows (callers pass a materialised, small
     input such as a summary) and uses the window form up to
     ``max_single_task_rows`` rows, the range-partitioned form beyond.
@@ -89,8 +99,8 @@ def pct_rank_avg(df: DataFrame, col: str, out: str, parts: int | None = None,
     if method == "auto":
         method = "window" if df.count() <= max_single_task_rows else "range"
     if method == "window":
-        return df.withColumn(out, window_pct_rank(col))
-    ranks = value_ranks(df, col, out, parts)
+        return df.withColumn(out, window_pct_rank(col, nulls))
+    ranks = value_ranks(df, col, out, parts, nulls)
     base = df.withColumn("__v", _v(col))
     return base.join(ranks, base["__v"].eqNullSafe(ranks["__v"])) \
         .drop(ranks["__v"]).drop("__v")
@@ -114,7 +124,8 @@ def score_expr(r_roas: Column, r_cvr: Column) -> Column:
 
 def efficiency_score(summary: DataFrame, dims: Dims = ("channel",),
                      parts: int | None = None, sort: bool = True,
-                     checkpoint: bool = True, method: str = "auto") -> DataFrame:
+                     checkpoint: bool = True, method: str = "auto",
+                     nulls: str = "best") -> DataFrame:
     """M7: 0-100 score from ROAS and conversion-rate percentile ranks.
 
     Missing ``roas`` / ``conversion_rate`` columns give a constant 0.0 score
@@ -129,8 +140,8 @@ def efficiency_score(summary: DataFrame, dims: Dims = ("channel",),
         summary = materialize(summary)
     if method == "auto":
         method = "window" if summary.count() <= SINGLE_TASK_RANK_ROWS else "range"
-    ranked = pct_rank_avg(summary, "roas", "__r_roas", parts, method)
-    ranked = pct_rank_avg(ranked, "conversion_rate", "__r_cvr", parts, method)
+    ranked = pct_rank_avg(summary, "roas", "__r_roas", parts, method, nulls=nulls)
+    ranked = pct_rank_avg(ranked, "conversion_rate", "__r_cvr", parts, method, nulls=nulls)
     out = ranked.select(*cols, score_expr(F.col("__r_roas"), F.col("__r_cvr"))
                         .alias("efficiency_score"))
     if sort:

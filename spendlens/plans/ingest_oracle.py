@@ -244,6 +244,28 @@ SELECT channel, week_start, {dl('r')} AS revenue_delta_pct, {dl('c')} AS convers
 FROM (SELECT h.file, d.platform, list_sort(list_filter({req}, lambda x: NOT list_contains(h.names, x))) AS m
       FROM headers h JOIN det d USING (file) WHERE d.platform IS NOT NULL)
 WHERE len(m) > 0"""
+    layouts = []
+    for p in PLATFORMS:
+        for prio, v in HEADER_VARIANTS.items():
+            names = [n for _, n in variant_columns(p, v)]
+            raw = list(PLATFORM_COLUMNS[p].values())
+            if v == "four":
+                stage, reason = "detect", "platform not recognised from the header"
+            elif v in ("upper", "five"):
+                stage = "schema"
+                reason = "Missing required columns: " + ", ".join(sorted(set(raw) - set(names)))
+            else:
+                stage, reason = None, None
+            layouts.append((p, prio, ",".join(names), stage, reason))
+    vals = ", ".join(f"({q(p)}, {q(prio)}, {q(h)}, {q(st) if st else 'NULL'}, {q(rs) if rs else 'NULL'})"
+                     for p, prio, h, st, rs in layouts)
+    lay = (f"exports(platform, prio, header, stage, reason) AS (VALUES {vals}),\n"
+           "present AS (SELECT DISTINCT o_orderpriority AS prio FROM order_lines)")
+    lb = "WITH " + ",\n".join([ORDER_LINES, lay]) + "\n"
+    export = "platform || '_' || replace(prio, ' ', '_')"
+    s["file_headers"] = lb + f"SELECT {export} AS export, header FROM exports JOIN present USING (prio)"
+    s["file_rejects"] = lb + (f"SELECT {export} AS export, stage, reason FROM exports JOIN present USING (prio) "
+                              "WHERE stage IS NOT NULL")
     accepted = [prio for prio, v in HEADER_VARIANTS.items() if v in ("exact", "extra")]
     s["csv_scan"] = with_raw() + f"SELECT {NORM_COLS} FROM norm_all WHERE __prio IN {lst(accepted)}"
     s["incremental_ingest"] = with_raw() + f"SELECT {NORM_COLS} FROM norm_all"

@@ -17,7 +17,7 @@ def test_every_query_has_oracle_or_is_rows_only(spark):
     import __spark_entry__ as E
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
-    assert set(q) - set(s) == {"file_headers", "file_rejects"}
+    assert set(q) == set(s)
 
 
 def test_plans_have_no_python_udf_and_prune_columns(spark):

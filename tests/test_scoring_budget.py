@@ -86,3 +86,13 @@ def test_narrative_edges(spark):
         "channel string, total_spend double, total_revenue double, roas double, conversion_rate double"))
     lines = [r.insight for r in two.insights.orderBy("ord").collect()]
     assert lines[-1].startswith("Overall portfolio efficiency is strong")  # n=2: mean 75
+
+
+@pytest.mark.parametrize("method", ["window", "range"])
+def test_pct_rank_nulls_worst_matches_pandas_top(spark, method):
+    vals = [None, 3.0, 1.0, None, 3.0, 2.0, float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, v double")
+    got = {r.id: r.p for r in scoring.pct_rank_avg(df, "v", "p", parts=3, method=method,
+                                                   nulls="worst").collect()}
+    want = pd.Series(vals, dtype="float64").rank(pct=True, na_option="top").tolist()
+    assert [got[i] for i in range(len(vals))] == want
