@@ -49,10 +49,44 @@ def totals(facts: DataFrame, dims: Dims = DEFAULT_DIMS) -> DataFrame:
     )
 
 
-def channel_summary(facts: DataFrame, dims: Dims = DEFAULT_DIMS,
-                    with_infinite_flag: bool = False) -> DataFrame:
-    """A3: five totals plus cpa, capped roas, ctr, conversion_rate (ratios)."""
-    t = totals(facts, dims)
+def period_totals(facts: DataFrame, dims: Dims = DEFAULT_DIMS) -> DataFrame:
+    """Pre-aggregate to (dims, week_start) with exact cent sums.
+
+    Its size is groups x weeks, independent of the fact row count; both the
+    per-group summary and the weekly series roll up from it, so a dashboard
+    scans and shuffles the facts once instead of once per report.
+    """
+    return facts.groupBy(*dims, _week_start("date").alias("week_start")).agg(
+        F.sum(to_cents("spend")).alias("spend_c"),
+        F.sum(to_cents("revenue")).alias("revenue_c"),
+        F.sum("clicks").alias("total_clicks"),
+        F.sum("impressions").alias("total_impressions"),
+        F.sum("conversions").alias("total_conversions"))
+
+
+def totals_from_periods(periods: DataFrame, dims: Dims = DEFAULT_DIMS) -> DataFrame:
+    """Roll ``period_totals`` up to dims (same values as ``totals``)."""
+    return periods.groupBy(*dims).agg(
+        _cents_to_money(F.sum("spend_c")).alias("total_spend"),
+        _cents_to_money(F.sum("revenue_c")).alias("total_revenue"),
+        F.sum("total_clicks").alias("total_clicks"),
+        F.sum("total_impressions").alias("total_impressions"),
+        F.sum("total_conversions").alias("total_conversions"))
+
+
+def weekly_from_periods(periods: DataFrame, channel: str | None = None,
+                        dims: Dims = ()) -> DataFrame:
+    """Roll ``period_totals`` (channel grain) up to weeks (as weekly_totals)."""
+    if channel is not None:
+        periods = periods.where(F.col("channel") == F.lit(channel))
+    return periods.groupBy(*dims, "week_start").agg(
+        _cents_to_money(F.sum("spend_c")).alias("total_spend"),
+        _cents_to_money(F.sum("revenue_c")).alias("total_revenue"),
+        F.sum("total_conversions").alias("total_conversions"))
+
+
+def summary_columns(t: DataFrame, dims: Dims, with_infinite_flag: bool = False) -> DataFrame:
+    """Derived ratios of a totals table (A3 output columns)."""
     s, r = F.col("total_spend"), F.col("total_revenue")
     cols = [*dims, "total_spend", "total_revenue", "total_clicks",
             "total_impressions", "total_conversions",
@@ -65,6 +99,12 @@ def channel_summary(facts: DataFrame, dims: Dims = DEFAULT_DIMS,
     return t.select(*cols)
 
 
+def channel_summary(facts: DataFrame, dims: Dims = DEFAULT_DIMS,
+                    with_infinite_flag: bool = False) -> DataFrame:
+    """A3: five totals plus cpa, capped roas, ctr, conversion_rate (ratios)."""
+    return summary_columns(totals(facts, dims), dims, with_infinite_flag)
+
+
 def cpa_by_channel(facts: DataFrame, dims: Dims = DEFAULT_DIMS) -> DataFrame:
     """A1: spend, conversions and CPA; best (lowest) CPA first, NULLs last."""
     t = facts.groupBy(*dims).agg(
@@ -101,15 +141,15 @@ def weekly_totals(facts: DataFrame, channel: str | None = None,
         F.sum("conversions").alias("total_conversions"))
 
 
-def week_over_week(facts: DataFrame, channel: str | None = None,
-                   dims: Dims = ()) -> DataFrame:
+def week_over_week(facts: DataFrame | None, channel: str | None = None,
+                   dims: Dims = (), weekly: DataFrame | None = None) -> DataFrame:
     """Weekly totals with change vs the previous existing week.
 
     With ``dims`` the lag runs per group (partitioned window); without, the
     window is global, but it runs on the weekly aggregate whose size is the
     number of weeks in the date span, not the number of fact rows.
     """
-    wk = weekly_totals(facts, channel, dims)
+    wk = weekly if weekly is not None else weekly_totals(facts, channel, dims)
     w = Window.partitionBy(*dims).orderBy("week_start") if dims else \
         Window.orderBy("week_start")
     out = [*dims, "week_start", "total_spend", "total_revenue", "total_conversions"]
@@ -178,6 +218,20 @@ def latest_deltas(wow: DataFrame) -> DataFrame:
         F.col("l.spend_wow_pct").alias("cpa_delta"))
 
 
+def dashboard_reports(facts: DataFrame, dims: Dims = DEFAULT_DIMS,
+                      checkpoint: bool = True):
+    """Summary and week-over-week from one pass over the facts:
+    ``period_totals`` (groups x weeks rows) is checkpointed once and both
+    reports roll up from it."""
+    periods = period_totals(facts, dims)
+    if checkpoint:
+        from spendlens.session import materialize
+        periods = materialize(periods)
+    summary = summary_columns(totals_from_periods(periods, dims), dims)
+    wow = week_over_week(None, weekly=weekly_from_periods(periods))
+    return summary, wow
+
+
 def kpi_cards(summary: DataFrame, wow: DataFrame) -> DataFrame:
     """Four cards (ord, label, value_label, delta_label).
 

@@ -81,8 +81,8 @@ def _wow(spark, sf):
 
 
 def _kpi_cards(spark, sf):
-    f = facts(spark, sf)
-    return reports.kpi_cards(reports.channel_summary(f), reports.week_over_week(f))
+    summary, wow = reports.dashboard_reports(facts(spark, sf))
+    return reports.kpi_cards(summary, wow)
 
 
 def analytics_queries() -> dict[str, Query]:

@@ -58,8 +58,10 @@ class AnalyticsContext:
 def analytics_context(facts: DataFrame, dims: Sequence[str] = ("channel",)) -> AnalyticsContext:
     """Entry point B: rows without a date are dropped first."""
     clean = quality.facts_clean(facts)
-    summary = materialize(reports.channel_summary(clean, dims))
-    wow = reports.week_over_week(clean)
+    # one pass over the facts; everything below reads the small table
+    periods = materialize(reports.period_totals(clean, dims))
+    summary = materialize(reports.summary_columns(reports.totals_from_periods(periods, dims), dims))
+    wow = reports.week_over_week(None, weekly=reports.weekly_from_periods(periods))
     return AnalyticsContext(
         summary=summary,
         flow=reports.spend_revenue_flow(clean, dims[0]),
