@@ -29,20 +29,30 @@ def _raw(spark, sf, p):
     return raw_rows(spark, sf, p)
 
 
+def _raws(spark, sf):
+    """All four platform layouts over one checkpointed join (instead of one
+    lineitem ⋈ orders ⋈ customer per layout)."""
+    from spendlens.session import materialize
+    from spendlens.sources.testdata import order_lines
+    base = materialize(order_lines(spark, sf))
+    return {p: raw_rows(spark, sf, p, base=base) for p in PLATFORMS}
+
+
 def _norm(spark, sf, p):
     return normalize(_raw(spark, sf, p), p)
 
 
 def _norm_all(spark, sf):
-    return normalize_all({p: _raw(spark, sf, p) for p in PLATFORMS})
+    return normalize_all(_raws(spark, sf))
 
 
 def _scalar(spark, sf, fn, unified):
     """Apply a scalar coercion to one raw column of every platform export."""
     out = None
+    raws = _raws(spark, sf)
     for p in PLATFORMS:
         raw_name = PLATFORM_COLUMNS[p][unified]
-        part = _raw(spark, sf, p).select(
+        part = raws[p].select(
             "_source", "_row", F.col(f"`{raw_name}`").alias("raw"),
             fn(F.col(f"`{raw_name}`")).alias("value"))
         out = part if out is None else out.unionByName(part)
