@@ -54,6 +54,15 @@ def get_spark(master: str | None = None, app: str = "spendlens",
     return spark
 
 
+def apply_sql_defaults(spark: SparkSession) -> SparkSession:
+    """Set the runtime ``spark.sql.*`` defaults on an existing session (for
+    sessions built elsewhere, e.g. by a scheduler or notebook)."""
+    for k, v in BASE_CONF.items():
+        if k.startswith("spark.sql."):
+            spark.conf.set(k, v)
+    return spark
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
