@@ -215,5 +215,7 @@ def ingest_queries():
         "replace_channel": _table_roundtrip(_replace),
         "unified_view": _unified_view,
         "export_facts": _export,
+        "events_week_over_week": lambda s, d: reports.week_over_week(
+            _events_facts(s, d), dims=["channel"]),
     }
     return q

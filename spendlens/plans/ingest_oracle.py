@@ -285,4 +285,13 @@ FROM facts GROUP BY channel"""
     fb1 = "WITH " + ",\n".join([ORDER_LINES, FACTS, ev.format(scale="CAST(1 AS DOUBLE)")]) + "\n"
     s["unified_view"] = fb1 + f"SELECT {NORM_COLS} FROM facts UNION ALL SELECT {NORM_COLS} FROM ev"
     s["export_facts"] = "WITH " + ",\n".join([ORDER_LINES, FACTS]) + f"\nSELECT {NORM_COLS} FROM facts"
+    from spendlens.plans.oracle import wow_select
+    ewk = """ewk AS (
+  SELECT channel, CAST(date_trunc('week', date) AS TIMESTAMP) AS week_start,
+    CAST(SUM(CAST(round_even(spend * 100, 0) AS BIGINT)) AS DOUBLE) / 100 AS total_spend,
+    CAST(SUM(CAST(round_even(revenue * 100, 0) AS BIGINT)) AS DOUBLE) / 100 AS total_revenue,
+    CAST(SUM(conversions) AS BIGINT) AS total_conversions
+  FROM ev GROUP BY channel, week_start)"""
+    s["events_week_over_week"] = "WITH " + ",\n".join(
+        [ev.format(scale="CAST(1 AS DOUBLE)"), ewk]) + "\n" + wow_select("channel", "ewk")
     return s
