@@ -41,3 +41,11 @@ def test_channel_filter_prunes_partitions(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(channel" in plan and "machinery" in plan
     assert df.select("channel").distinct().collect()[0].channel == "machinery"
+
+
+def test_header_probe_equals_text_scan(spark):
+    from spendlens.sources.exports import file_headers
+    fix = "file://" + os.path.join(os.path.dirname(__file__), "fixtures", "exports")
+    probe = sorted(tuple(r) for r in file_headers(spark, [fix]).collect())
+    scan = sorted(tuple(r) for r in file_headers(spark, [fix], method="scan").collect())
+    assert probe == scan and len(probe) == 10
