@@ -46,6 +46,6 @@ def test_channel_filter_prunes_partitions(spark):
 def test_header_probe_equals_text_scan(spark):
     from spendlens.sources.exports import file_headers
     fix = "file://" + os.path.join(os.path.dirname(__file__), "fixtures", "exports")
-    probe = sorted(tuple(r) for r in file_headers(spark, [fix]).collect())
-    scan = sorted(tuple(r) for r in file_headers(spark, [fix], method="scan").collect())
+    probe = sorted((r.file, r.header) for r in file_headers(spark, [fix]).collect())
+    scan = sorted((r.file, r.header) for r in file_headers(spark, [fix], method="scan").collect())
     assert probe == scan and len(probe) == 10
