@@ -17,7 +17,6 @@ from spendlens.functions.labels import signed_pct_label, title_label
 from spendlens.functions.numeric import to_cents
 from spendlens.operators.reports import channel_summary
 from spendlens.operators.scoring import efficiency_score
-from spendlens.session import materialize
 from spendlens.schema import (MIN_ALLOCATION, STRONG_MEAN_SCORE, TEXT_GAINER,
                               TEXT_LOSER, TEXT_NO_DATA, TEXT_STRONG, TEXT_WEAK,
                               WEAK_MEAN_SCORE)

@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spendlens.functions.numeric import round_to
 from spendlens.operators import budget, datasets, reports, scoring
@@ -138,4 +137,4 @@ def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in out.items() if k in queries()}
 
 
-__all__ = ["queries", "oracle_sql", "F"]
+__all__ = ["queries", "oracle_sql"]

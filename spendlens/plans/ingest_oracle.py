@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from spendlens.functions.dates import DATE_ARMS, SHORT_YEAR_ARMS, SHORT_YEAR_PIVOT
 from spendlens.functions.numeric import INF_TOKENS, NUMBER_RE
-from spendlens.operators.detect import PUNCT_RE  # noqa: F401  (documented equivalent below)
 from spendlens.operators.quality import MSG_FINITE
 from spendlens.plans.oracle import ORDER_LINES, FACTS, q, title
 from spendlens.schema import (CHANNEL_ENUM, EXPECTED_HEADERS, MISSING_TEXT,

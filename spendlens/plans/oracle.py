@@ -7,9 +7,8 @@ derived from lineitem ⋈ orders ⋈ customer with the same fixed rules.
 
 from __future__ import annotations
 
-from spendlens.schema import (EXPECTED_HEADERS, FLOW_SINK, FLOW_SOURCE,
-                              KPI_LABELS, MIN_ALLOCATION, PLATFORM_COLUMNS,
-                              PLATFORMS, ROAS_CAP, SCORE_WEIGHT_CVR,
+from spendlens.schema import (FLOW_SINK, FLOW_SOURCE, KPI_LABELS,
+                              MIN_ALLOCATION, ROAS_CAP, SCORE_WEIGHT_CVR,
                               SCORE_WEIGHT_ROAS, STRONG_MEAN_SCORE,
                               TEXT_GAINER, TEXT_LOSER, TEXT_NO_DATA,
                               TEXT_STRONG, TEXT_WEAK, WEAK_MEAN_SCORE)
@@ -340,5 +339,4 @@ FROM edges e JOIN nodes ns ON e.source = ns.label JOIN nodes nt ON e.target = nt
     return s
 
 
-__all__ = ["analytics_sql", "with_facts", "q", "cents_sum", "round9", "round2",
-           "title", "EXPECTED_HEADERS", "PLATFORM_COLUMNS", "PLATFORMS"]
+__all__ = ["analytics_sql", "with_facts", "q", "cents_sum", "round9", "round2", "title"]
