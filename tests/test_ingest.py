@@ -109,3 +109,23 @@ def test_replace_channels_keeps_others_and_empty_is_noop(spark):
     tables.replace_channels(spark.createDataFrame([], FACT_SCHEMA), path)
     got = sorted((r.channel, r.spend) for r in tables.read_facts(spark, path).collect())
     assert got == [("email", 2.0), ("seo", 5.0), ("seo", 6.0)]
+
+
+def test_replayed_micro_batch_is_idempotent(spark):
+    """A micro-batch re-run after a failure (same batch id) rewrites its own
+    partition instead of appending the rows a second time."""
+    from spendlens.streaming.ingest import _process
+    base = local_path(shared_dir(spark, "t-replay"))
+    paths = IngestPaths(f"{base}/landing", f"{base}/facts", f"{base}/rejects", f"{base}/ckpt")
+    _write(f"{base}/landing/email.csv", EMAIL)
+    _write(f"{base}/landing/junk.csv", "x,y\n1,2\n")
+    batch = spark.createDataFrame([(f"file://{base}/landing/email.csv",),
+                                   (f"file://{base}/landing/junk.csv",)], "path string")
+    run = _process(spark, paths, True)
+    run(batch, 7)
+    run(batch, 7)  # replay of the same batch
+    assert read_ingested(spark, paths).count() == 2
+    assert spark.read.parquet(paths.rejects).count() == 1
+    later = spark.createDataFrame([(f"file://{base}/landing/email.csv",)], "path string")
+    run(later, 8)  # a later batch appends next to it
+    assert read_ingested(spark, paths).count() == 4
