@@ -1,8 +1,8 @@
 """Budget reallocation: suggested shares, current-vs-suggested, narrative.
 
 Portfolio-wide quantities (row count, score sum, spend total) are one-row
-aggregates cross-joined back with an explicit broadcast — their size is one
-row by construction, whatever the number of channels or campaigns.
+aggregates attached to the rows as scalar subqueries (``DataFrame.scalar``):
+evaluated once, no join, whatever the number of channels or campaigns.
 """
 
 from __future__ import annotations
@@ -39,20 +39,20 @@ def suggest_allocation(scored: DataFrame, dims: Dims = ("channel",),
                          "run efficiency_score first")
     sc = F.col("efficiency_score").cast("double")
     missing = sc.isNull() | F.isnan(sc)
-    stats = scored.agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.sum(F.when(sc == 0, 1).otherwise(0)).alias("__nz"),
-        F.sum(F.when(missing, 1).otherwise(0)).alias("__nm"),
-        F.sum(F.when(~missing, sc)).alias("__tot"))
-    j = scored.crossJoin(F.broadcast(stats))
+    stats = scored.agg(F.struct(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(sc == 0, 1).otherwise(0)).alias("nz"),
+        F.sum(F.when(missing, 1).otherwise(0)).alias("nm"),
+        F.sum(F.when(~missing, sc)).alias("tot")).alias("st")).scalar()
+    j = scored.select("*", *[stats.getField(k).alias(f"__{k}") for k in ("n", "nz", "nm", "tot")])
     n = F.col("__n").cast("double")
     single = F.col("__n") == 1
     uniform = (F.col("__nz") == F.col("__n")) | (F.col("__nm") == F.col("__n"))
     raw = F.when((F.col("__nm") > 0) | ~(F.col("__tot") > 0), F.lit(1.0) / n) \
         .otherwise(sc / F.col("__tot"))
     j = j.withColumn("__cap", F.greatest(raw, F.lit(float(floor))))
-    cap_tot = j.agg(F.sum("__cap").alias("__ctot"))
-    j = j.crossJoin(F.broadcast(cap_tot))
+    cap_tot = j.agg(F.sum("__cap").alias("__ctot")).scalar()
+    j = j.withColumn("__ctot", cap_tot)
     share = (F.when(single, F.lit(1.0))
               .when(uniform, F.lit(1.0) / n)
               .otherwise(F.col("__cap") / F.col("__ctot")))
@@ -73,8 +73,8 @@ def current_vs_suggested(scored: DataFrame, allocations: DataFrame | None = None
     if allocations is not None:
         base = scored.drop("suggested_pct") if "suggested_pct" in scored.columns else scored
         base = base.join(allocations.select(*dims, "suggested_pct"), list(dims), "left")
-    tot = scored.agg((F.sum(to_cents("spend")).cast("double") / F.lit(100.0)).alias("__total"))
-    j = base.crossJoin(F.broadcast(tot))
+    tot = scored.agg((F.sum(to_cents("spend")).cast("double") / F.lit(100.0)).alias("t")).scalar()
+    j = base.withColumn("__total", tot)
     total = F.col("__total")
     cur_pct = F.when(total > 0, F.col("spend") / total).otherwise(F.lit(0.0))
     sug = F.coalesce(F.col("suggested_pct"), F.lit(0.0))

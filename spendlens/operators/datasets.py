@@ -42,8 +42,8 @@ def metric_ranking(summary: DataFrame, metric: str = "roas",
 def budget_share(summary: DataFrame, dim: str = "channel") -> DataFrame:
     """Spend per row, share of the total and the grand total (donut)."""
     col = resolve_metric_column(summary, "spend")
-    tot = summary.agg((F.sum(to_cents(col)).cast("double") / F.lit(100.0)).alias("total_spend_all"))
-    j = summary.crossJoin(F.broadcast(tot))
+    tot = summary.agg((F.sum(to_cents(col)).cast("double") / F.lit(100.0)).alias("t")).scalar()
+    j = summary.withColumn("total_spend_all", tot)
     return j.select(
         dim, title_label(dim).alias("display_name"), F.col(col).alias("spend"),
         F.when(F.col("total_spend_all") != 0,

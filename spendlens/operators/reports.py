@@ -235,12 +235,16 @@ def dashboard_reports(facts: DataFrame, dims: Dims = DEFAULT_DIMS,
 def kpi_cards(summary: DataFrame, wow: DataFrame) -> DataFrame:
     """Four cards (ord, label, value_label, delta_label).
 
-    Both inputs collapse to one row each before they meet, so the cross
-    join is 1 x 1.  No cards for an empty summary.
+    Both inputs collapse to one row each; the deltas row is attached as a
+    scalar subquery.  No cards for an empty summary.
     """
     b = blended_kpis(summary)
     d = latest_deltas(wow)
-    j = b.crossJoin(d).where(F.col("n_groups") > 0)
+    # the latest-week row is attached as a scalar subquery (one row by
+    # construction), not joined
+    last = d.select(F.struct(*d.columns).alias("d")).scalar()
+    j = b.select("*", *[last.getField(c).alias(c) for c in d.columns]) \
+        .where(F.col("n_groups") > 0)
     cards = [
         (1, KPI_LABELS[0], currency_label("total_spend"), "spend_delta"),
         (2, KPI_LABELS[1], currency_label("total_revenue"), "revenue_delta"),
