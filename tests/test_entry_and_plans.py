@@ -37,3 +37,13 @@ def test_week_over_week_filter_reaches_scan_and_lag_uses_previous_week(spark):
     assert rows[0].spend_wow_pct is None
     prev, cur = rows[0], rows[1]
     assert cur.spend_wow_pct == (cur.total_spend - prev.total_spend) / prev.total_spend
+
+
+def test_every_registered_query_runs_on_smoke_data(spark):
+    """Driver-style smoke: each catalog query on sf0.001 returns a result
+    with unique, named columns."""
+    import __spark_entry__ as E
+    for name, q in E.queries().items():
+        df = q(spark, SF001)
+        assert len(set(df.columns)) == len(df.columns), name
+        assert df.count() >= 0, name
