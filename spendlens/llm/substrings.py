@@ -258,8 +258,11 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """
     import pyarrow as pa
 
-    own = keyed(docs)
+    every = keyed(docs)
+    own = every.filter(F.col("doc_id").isNotNull())  # as in repeated_runs: the texts are shuffled once for both joins
     joined = own.join(repeated_runs(own).hint("shuffle_hash"), ["doc_id", "key"], "left").select("doc_id", "text", "lo", "hi")
+    none = F.lit(None).cast("array<int>")
+    joined = joined.unionByName(every.filter(F.col("doc_id").isNull()).select("doc_id", "text", none.alias("lo"), none.alias("hi")))
 
     def run(batches):
         for b in batches:
