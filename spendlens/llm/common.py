@@ -36,8 +36,10 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) alone: other columns and clashing names drop out."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, text) alone: other columns and clashing names drop out.  A column of the right type
+    stays as it is, without an alias, so that equal plans are seen as equal and shuffled once."""
+    own = lambda c, kind: F.col(c) if dict(docs.dtypes)[c] == kind else F.col(c).cast(kind).alias(c)
+    return docs.select(own("doc_id", "bigint"), own("text", "string"))
 
 
 def grouped_bytes(batches: Iterator, limit: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:

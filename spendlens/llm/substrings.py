@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped_bytes, table
+from .common import grouped_bytes, table, texts
 from .packed import CHUNK, DONE, INDEX, PROBE, ROW, TEXTS, batch, by_bucket, chunk_number, dealt, rows_of, squeeze, unsqueeze
 from .words import SPACE, spans, windows, word_hashes
 
@@ -233,7 +233,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    """(doc_id, text, key): the key tells the texts of rows that repeat an id apart."""
+    return texts(docs).withColumn("key", F.xxhash64("text"))
 
 
 def remaining(text: bytes, lo, hi) -> tuple[int, int, bytes]:

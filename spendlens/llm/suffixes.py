@@ -79,7 +79,8 @@ def sampled(found: list[bytes]):
     count = np.diff(np.append(first, len(start)))
     at, anchor = start[first], anchor[first]
     whole = runs(prefix(values), at, at + count + LENGTH - 1)
-    return h[anchor], mix(whole ^ mix((anchor - at) * 1024 + count, 5)), at, count, offsets
+    # anchors are small hashes: mixed again, their leading bits spread over the shards
+    return mix(h[anchor], 31), mix(whole ^ mix((anchor - at) * 1024 + count, 5)), at, count, offsets
 
 
 def suffixes(batches, buckets: int):
