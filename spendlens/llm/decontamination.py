@@ -148,7 +148,7 @@ def vectors(items: Items, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
 
 def summed(to: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """``rows`` added up by their number in ``to``, 0 .. n-1."""
-    out = np.zeros((n, rows.shape[1]))
+    out = np.zeros((n, rows.shape[1]), dtype=rows.dtype)
     if len(to):
         order = np.argsort(to, kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(to[order]) > 0))
@@ -158,7 +158,7 @@ def summed(to: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 def times(row, word, value, basis: np.ndarray, n: int) -> np.ndarray:
     """Rows of the sparse matrix times ``basis``."""
-    return summed(row, basis[word] * value[:, None], n)
+    return summed(row, basis[word] * value[:, None].astype(basis.dtype), n)
 
 
 def latent_space(kept: DataFrame, items: Items) -> np.ndarray:
@@ -175,7 +175,7 @@ def latent_space(kept: DataFrame, items: Items) -> np.ndarray:
     own = [w for w in items.words if len(w)]
     weight = max(1.0, kept.count() / len(own))
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((items, basis))
+        shared = spark.sparkContext.broadcast((items, basis.astype(np.float32)))
 
         def run(batches):
             it, q = shared.value
@@ -183,7 +183,7 @@ def latent_space(kept: DataFrame, items: Items) -> np.ndarray:
             for pdf in batches:
                 found = [np.frombuffer(w, np.int32)[h : h + WIDTH] for w, h in zip(pdf["words"], pdf["head"])]
                 row, word, value = vectors(it, found)
-                total += summed(word, times(row, word, value, q, len(found))[row] * value[:, None], len(total))
+                total += summed(word, times(row, word, value, q, len(found))[row] * value[:, None].astype(np.float32), len(total))
             for a in range(0, len(total), SLICE):
                 if total[a : a + SLICE].any():
                     yield pd.DataFrame({"slice": [a // SLICE], "data": [total[a : a + SLICE].tobytes()]})
@@ -228,15 +228,17 @@ def search(kept: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
             row, word, value = vectors(it, [w[h : h + WIDTH] for w, h in zip(words, pdf["head"])])
             cosines = times(row, word, value, q, len(words)) @ targets.T
             found = []
-            for p, k in zip(*np.nonzero(cosines >= COSINE)):
+            last, there = -1, frozenset()
+            for p, k in zip(*(x.tolist() for x in np.nonzero(cosines >= COSINE))):
+                if p != last:
+                    last, there, head = p, frozenset(words[p].tolist()), int(pdf["head"].iloc[p])
+                answers = len(it.answers[k] & there) / len(it.answers[k])
+                if answers < ANSWERS:  # the quicker check first
+                    continue
                 size = len(it.words[k])
-                head = int(pdf["head"].iloc[p])
-                about = words[p][max(head - size, 0) : head + WIDTH + size]
-                covered = common_subsequence(it.words[k], about) / size
+                covered = common_subsequence(it.words[k], words[p][max(head - size, 0) : head + WIDTH + size]) / size
                 if covered >= COVERED:
-                    answers = len(it.answers[k].intersection(about.tolist())) / len(it.answers[k])
-                    if answers >= ANSWERS:
-                        found.append((pdf["doc_id"].iloc[p], it.ids[k], int(pdf["place"].iloc[p]), float(cosines[p, k]), covered, answers))
+                    found.append((pdf["doc_id"].iloc[p], it.ids[k], int(pdf["place"].iloc[p]), float(cosines[p, k]), covered, answers))
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "place", "cosine", "covered", "answers"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
     return kept.mapInPandas(run, "doc_id long, item_id long, place long, cosine double, covered double, answers double")

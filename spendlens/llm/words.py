@@ -72,7 +72,9 @@ def word_hashes(found: list[bytes], gap: np.ndarray = SPACE, fold: np.ndarray |
     breaks; ``first`` holds the number of the first word of each text, and the total."""
     data = np.frombuffer(b"\n".join(found), dtype=np.uint8)
     if fold is not None:
-        data = fold[data]
+        data = fold[data]  # and the capitals of Latin-1, whose second byte follows 0xC3
+        capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        data[1:][capital] += 32
     starts, ends = spans(data, gap)
     offsets = np.cumsum([0, *(len(t) + 1 for t in found)])
     first = np.searchsorted(starts, offsets)
