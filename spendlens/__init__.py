@@ -10,4 +10,11 @@ plans      end-to-end compositions and the named query catalog
 streaming  incremental file ingest with Structured Streaming
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in Python workers travel by value: workers need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"

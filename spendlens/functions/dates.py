@@ -31,6 +31,18 @@ DATE_ARMS: list[tuple[str, str, str]] = [
     (rf"^{_DY}/{_MO}/\d{{4}}$", "d/M/yyyy", "%d/%m/%Y"),
     (rf"^[A-Za-z]{{4,9}} {_DY}, \d{{4}}$", "MMMM d, yyyy", "%B %d, %Y"),
     (rf"^{_MN} {_DY}, \d{{4}}$", "MMM d, yyyy", "%b %d, %Y"),
+    (rf"^{_DY} {_MN} \d{{4}}$", "d MMM yyyy", "%d %b %Y"),
+    (rf"^{_MN} {_DY} \d{{4}}$", "MMM d yyyy", "%b %d %Y"),
+    (rf"^{_DY} [A-Za-z]{{4,9}} \d{{4}}$", "d MMMM yyyy", "%d %B %Y"),
+    (rf"^{_MO}\.{_DY}\.\d{{4}}$", "M.d.yyyy", "%m.%d.%Y"),
+    (rf"^{_DY}\.{_MO}\.\d{{4}}$", "d.M.yyyy", "%d.%m.%Y"),
+    (rf"^\d{{4}}\.{_MO}\.{_DY}$", "yyyy.M.d", "%Y.%m.%d"),
+    (rf"^{_MO}-{_DY}-\d{{4}}$", "M-d-yyyy", "%m-%d-%Y"),
+    (rf"^{_DY}-{_MO}-\d{{4}}$", "d-M-yyyy", "%d-%m-%Y"),
+    (rf"^{_MO}/{_DY}/\d{{4}} \d{{1,2}}:\d{{2}}$", "M/d/yyyy H:mm", "%m/%d/%Y %H:%M"),
+    (rf"^{_MO}/{_DY}/\d{{4}} (0?[1-9]|1[0-2]):\d{{2}}:\d{{2}} [AP]M$", "M/d/yyyy h:mm:ss a", "%m/%d/%Y %I:%M:%S %p"),
+    (rf"^\d{{4}}-{_MO}-{_DY} (0?[1-9]|1[0-2]):\d{{2}} [AP]M$", "yyyy-M-d h:mm a", "%Y-%m-%d %I:%M %p"),
+    (rf"^{_DY}-{_MN}-\d{{4}} \d{{1,2}}:\d{{2}}$", "d-MMM-yyyy H:mm", "%d-%b-%Y %H:%M"),
     (r"^\d{4}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$", "yyyyMMdd", "%Y%m%d"),
 ]
 # FIXED VALUES: layouts with a trailing 2-digit year, widened to 4 digits.

@@ -3,7 +3,7 @@ flow diagram; drawing itself is out of scope)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.labels import (currency_label, money2_label,
@@ -12,24 +12,19 @@ from spendlens.functions.numeric import to_cents
 from spendlens.schema import FLOW_SINK, FLOW_SOURCE, METRIC_DISPLAY
 
 
-def resolve_metric_column(df: DataFrame, metric: str) -> str:
-    candidates = METRIC_DISPLAY[metric][0] if metric in METRIC_DISPLAY else [metric]
-    for c in candidates:
-        if c in df.columns:
-            return c
-    raise ValueError(f"Could not find a column for metric '{metric}'; expected one "
-                     f"of {candidates}, have {df.columns}")
+def metric_value(summary: DataFrame, metric: str) -> Column:
+    """The summary column that holds a charted metric, under its own or its summary name."""
+    present = [n for n in METRIC_DISPLAY.get(metric, ([],))[0] if n in summary.columns]
+    if not present:
+        raise ValueError(f"cannot chart {metric!r} from a summary of {', '.join(summary.columns)}")
+    return F.col(present[0])
 
 
 def metric_ranking(summary: DataFrame, metric: str = "roas",
                    dim: str = "channel") -> DataFrame:
     """One bar per row, NULL metric dropped, highest first, with label."""
-    if metric not in METRIC_DISPLAY:
-        raise ValueError(f"Unsupported metric '{metric}'. Supported metrics: "
-                         f"{list(METRIC_DISPLAY)}")
-    col = resolve_metric_column(summary, metric)
+    v = metric_value(summary, metric)
     _, title, kind = METRIC_DISPLAY[metric]
-    v = F.col(col)
     label = {"ratio": ratio_label(v), "money2": money2_label(v),
              "money0": F.concat(F.lit("$"), F.format_number(v, 0))}[kind]
     return (summary.where(v.isNotNull() & ~F.isnan(v))
@@ -41,13 +36,13 @@ def metric_ranking(summary: DataFrame, metric: str = "roas",
 
 def budget_share(summary: DataFrame, dim: str = "channel") -> DataFrame:
     """Spend per row, share of the total and the grand total (donut)."""
-    col = resolve_metric_column(summary, "spend")
-    tot = summary.agg((F.sum(to_cents(col)).cast("double") / F.lit(100.0)).alias("t")).scalar()
+    spend = metric_value(summary, "spend")
+    tot = summary.agg((F.sum(to_cents(spend)).cast("double") / F.lit(100.0)).alias("t")).scalar()
     j = summary.withColumn("total_spend_all", tot)
     return j.select(
-        dim, title_label(dim).alias("display_name"), F.col(col).alias("spend"),
+        dim, title_label(dim).alias("display_name"), spend.alias("spend"),
         F.when(F.col("total_spend_all") != 0,
-               F.col(col) / F.col("total_spend_all")).alias("share"),
+               spend / F.col("total_spend_all")).alias("share"),
         "total_spend_all",
         currency_label("total_spend_all").alias("total_label"))
 

@@ -104,8 +104,3 @@ def normalize_all(raws: dict[str, DataFrame] | list[tuple[str, DataFrame]],
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
-
-
-def facts_only(df: DataFrame) -> DataFrame:
-    """Drop lineage columns: exactly the unified schema."""
-    return df.select(*FACT_COLUMNS)

@@ -17,7 +17,7 @@ from spendlens.functions.dates import parse_dates
 from spendlens.functions.labels import title_label
 from spendlens.functions.numeric import coerce_numeric, nan_to_null
 from spendlens.schema import (CHANNEL_ENUM, FACT_COLUMNS, MSG_CHANNEL,
-                              MSG_DATE_MISSING, MSG_GE_ZERO_FLOAT,
+                              MISSING_TEXT, MSG_DATE_MISSING, MSG_GE_ZERO_FLOAT,
                               MSG_GE_ZERO_INT, MSG_MISSING_COLUMNS,
                               PLATFORM_COLUMNS, ROW_REJECT_TEXT)
 
@@ -69,7 +69,7 @@ def coerce_types(df: DataFrame) -> DataFrame:
         if c == "date" and isinstance(types[c], T.StringType):
             col = parse_dates(col)
         elif c in ("channel", "campaign_name"):
-            col = col.cast("string")
+            col = F.coalesce(col.cast("string"), F.lit(MISSING_TEXT))
         elif c in ("spend", "revenue") and not isinstance(types[c], (T.DoubleType, T.FloatType)):
             col = coerce_numeric(col)
         elif c in ("clicks", "impressions", "conversions") and \
@@ -110,14 +110,20 @@ def _row_id(df: DataFrame) -> Column:
     return F.col("_row") if "_row" in df.columns else F.lit(None).cast("bigint")
 
 
+def _ruled(df: DataFrame) -> DataFrame:
+    """``df`` plus ``__errors``, generated: a filter on it stays above, so that the parse
+    beneath runs once and not again within the filter."""
+    return df.select("*", F.explode(F.array(rule_messages(df))).alias("__errors"))
+
+
 def valid_rows(df: DataFrame) -> DataFrame:
     """V4: rows passing every rule (columns unchanged)."""
-    return df.where(F.size(rule_messages(df)) == 0)
+    return _ruled(df).where(F.size("__errors") == 0).drop("__errors")
 
 
 def rejected_rows(df: DataFrame) -> DataFrame:
     """V4: failing rows as (source, row, message) with the fixed sentence."""
-    errs = rule_messages(df)
+    df, errs = _ruled(df), F.col("__errors")
     src = F.col("_source") if "_source" in df.columns else F.lit(None).cast("string")
     pre, post = ROW_REJECT_TEXT.split("{row}")
     mid, end = post.split("{errors}")

@@ -10,9 +10,8 @@ quirk).  It is computed without a global window over the rows:
    of rows strictly below each value;
 3. the ranks join back to the rows on the value (null-safe).
 
-Inputs of at most ``SINGLE_TASK_RANK_ROWS`` rows (checked by a count on the
-materialised input) take the plain window form instead: for a channel or
-campaign summary that is a handful of stages instead of a dozen.
+The ranges are written once (``materialize``), so that the counts and the offsets come from
+the same ranges whatever the planner reuses.  The same form serves all sizes.
 """
 
 from __future__ import annotations
@@ -47,7 +46,8 @@ def value_ranks(values: DataFrame, col: str, out: str,
     counts = values.select(v).groupBy("__v").agg(F.count(F.lit(1)).alias("__k"))
     order = _order(F.col("__v"), nulls)
     p = parts or _range_parts(values)
-    ranged = counts.repartitionByRange(p, order).withColumn("__p", F.spark_partition_id())
+    # written: ranges sampled anew for a second use could be cut elsewhere
+    ranged = materialize(counts.repartitionByRange(p, order).withColumn("__p", F.spark_partition_id()))
     # rows strictly below each value inside its range
     local = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     ranged = ranged.withColumn("__lb", F.coalesce(F.sum("__k").over(local), F.lit(0)))
@@ -64,42 +64,17 @@ def value_ranks(values: DataFrame, col: str, out: str,
     return j.select("__v", (avg_rank / F.col("__n").cast("double")).alias(out))
 
 
-# Above this many rows the rank leaves the single-task window form.
-SINGLE_TASK_RANK_ROWS = 1_000_000
-
-
 def _v(col: str) -> Column:
     return nan_to_null(F.col(col).cast("double"))
 
 
-def window_pct_rank(col: str, nulls: str = "best") -> Column:
-    """Average-ties percentile rank as window expressions over all rows.
-
-    Global windows run in one task: use only on inputs of checked size."""
-    v = _v(col)
-    rank = F.rank().over(Window.orderBy(_order(v, nulls))).cast("double")
-    ties = F.count(F.lit(1)).over(Window.partitionBy(v)).cast("double")
-    n = F.count(F.lit(1)).over(Window.partitionBy()).cast("double")
-    return ((rank - F.lit(1.0)) + (ties + F.lit(1.0)) / F.lit(2.0)) / n
-
-
 def pct_rank_avg(df: DataFrame, col: str, out: str, parts: int | None = None,
-                 method: str = "auto",
-                 max_single_task_rows: int = SINGLE_TASK_RANK_ROWS,
                  nulls: str = "best") -> DataFrame:
     """``df`` plus ``out`` = average-ties percentile rank of ``col``.
 
     ``nulls="best"`` ranks NULL/NaN above every value (the behaviour being
     reproduced); ``nulls="worst"`` ranks them below every value.
-
-    ``method="auto"`` counts the rows (callers pass a materialised, small
-    input such as a summary) and uses the window form up to
-    ``max_single_task_rows`` rows, the range-partitioned form beyond.
     """
-    if method == "auto":
-        method = "window" if df.count() <= max_single_task_rows else "range"
-    if method == "window":
-        return df.withColumn(out, window_pct_rank(col, nulls))
     ranks = value_ranks(df, col, out, parts, nulls)
     base = df.withColumn("__v", _v(col))
     return base.join(ranks, base["__v"].eqNullSafe(ranks["__v"])) \
@@ -124,8 +99,7 @@ def score_expr(r_roas: Column, r_cvr: Column) -> Column:
 
 def efficiency_score(summary: DataFrame, dims: Dims = ("channel",),
                      parts: int | None = None, sort: bool = True,
-                     checkpoint: bool = True, method: str = "auto",
-                     nulls: str = "best") -> DataFrame:
+                     checkpoint: bool = True, nulls: str = "best") -> DataFrame:
     """M7: 0-100 score from ROAS and conversion-rate percentile ranks.
 
     Missing ``roas`` / ``conversion_rate`` columns give a constant 0.0 score
@@ -138,10 +112,8 @@ def efficiency_score(summary: DataFrame, dims: Dims = ("channel",),
         # the summary is read three times below (two value-rank jobs and the
         # row join); materialise it once instead of re-running its scans
         summary = materialize(summary)
-    if method == "auto":
-        method = "window" if summary.count() <= SINGLE_TASK_RANK_ROWS else "range"
-    ranked = pct_rank_avg(summary, "roas", "__r_roas", parts, method, nulls=nulls)
-    ranked = pct_rank_avg(ranked, "conversion_rate", "__r_cvr", parts, method, nulls=nulls)
+    ranked = pct_rank_avg(summary, "roas", "__r_roas", parts, nulls=nulls)
+    ranked = pct_rank_avg(ranked, "conversion_rate", "__r_cvr", parts, nulls=nulls)
     out = ranked.select(*cols, score_expr(F.col("__r_roas"), F.col("__r_cvr"))
                         .alias("efficiency_score"))
     if sort:

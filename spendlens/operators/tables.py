@@ -90,7 +90,3 @@ def read_export(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
 def raw_facts(facts: DataFrame) -> DataFrame:
     """The whole normalised set, rows without a date included."""
     return facts.select(*FACT_COLUMNS, *[c for c in ("_source", "_row") if c in facts.columns])
-
-
-def channel_row_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("channel").agg(F.count(F.lit(1)).alias("rows"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spendlens.functions.numeric import round_to
 from spendlens.operators import budget, datasets, reports, scoring
+from spendlens.session import materialize
 from spendlens.sources.testdata import facts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,7 +63,7 @@ def _comparison(spark, sf):
 
 
 def _metric_ranking(spark, sf):
-    s = _summary(spark, sf)
+    s = materialize(_summary(spark, sf))  # a row per channel, read four times
     parts = [datasets.metric_ranking(s, m) for m in ("roas", "cpa", "spend", "revenue")]
     out = parts[0]
     for p in parts[1:]:
@@ -71,7 +72,7 @@ def _metric_ranking(spark, sf):
 
 
 def _budget_share(spark, sf):
-    b = datasets.budget_share(_summary(spark, sf))
+    b = datasets.budget_share(materialize(_summary(spark, sf)))
     return b.withColumn("share", round_to("share", 9))
 
 

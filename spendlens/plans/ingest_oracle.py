@@ -178,7 +178,7 @@ def ingest_sql() -> dict[str, str]:
     s["raw_facts"] = s["normalize_all"]
     g = {u: ident(r) for u, r in PLATFORM_COLUMNS["google_ads"].items()}
     s["coerce_types"] = with_raw() + f"""SELECT {parse_date(g['date'])} AS date,
-  'google_ads' AS channel, CAST({g['campaign_name']} AS VARCHAR) AS campaign_name,
+  'google_ads' AS channel, COALESCE(CAST({g['campaign_name']} AS VARCHAR), 'nan') AS campaign_name,
   {coerce(g['spend'])} AS spend,
   COALESCE({count(coerce(g['clicks']))}, 0) AS clicks,
   COALESCE({count(coerce(g['impressions']))}, 0) AS impressions,

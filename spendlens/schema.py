@@ -118,7 +118,7 @@ TEXT_WEAK = ("Portfolio efficiency indicates significant room for "
 # Row-rule messages and the rejected-row sentence.
 MSG_DATE_MISSING = "Value error, Date is missing"
 MSG_CHANNEL = "Input should be 'google_ads', 'facebook', 'email' or 'seo'"
-MSG_GE_ZERO_FLOAT = "Input should be greater than or equal to 0.0"
+MSG_GE_ZERO_FLOAT = "Input should be greater than or equal to 0"
 MSG_GE_ZERO_INT = "Input should be greater than or equal to 0"
 ROW_REJECT_TEXT = ("Row {row}: Some values did not meet validation criteria "
                    "({errors}). This row has been excluded from the final "
@@ -135,8 +135,3 @@ METRIC_DISPLAY = {
     "spend": (["spend", "total_spend"], "Total Spend by Channel", "money0"),
     "revenue": (["revenue", "total_revenue"], "Total Revenue by Channel", "money0"),
 }
-
-
-def header_fingerprint(names: list[str]) -> str:
-    """Sorted names joined with a pipe — the exact-match signature."""
-    return "|".join(sorted(names))

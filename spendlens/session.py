@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -66,13 +67,15 @@ def apply_sql_defaults(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when nothing is configured (local tests) a
-    private temp folder is set, mirroring what a test harness would do.
+    Read from the session; only when nothing is configured on a local master
+    (tests) a private temp folder is set.  On a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not d:
             d = tempfile.mkdtemp(prefix="spendlens-ckpt-")
         sc.setCheckpointDir(d)

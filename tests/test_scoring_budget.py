@@ -14,13 +14,12 @@ def pandas_rank(vals):
     return pd.Series(vals, dtype="float64").rank(pct=True, na_option="bottom").tolist()
 
 
-@pytest.mark.parametrize("method", ["window", "range"])
-def test_pct_rank_matches_pandas_with_ties_and_nulls(spark, method):
+def test_pct_rank_matches_pandas_with_ties_and_nulls(spark):
     rnd = random.Random(7)
     vals = [rnd.choice([None, float("nan"), 1.0, 2.0, 2.0, 3.5, rnd.randint(0, 40) / 4])
             for _ in range(300)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, v double")
-    got = {r.id: r.p for r in scoring.pct_rank_avg(df, "v", "p", parts=5, method=method).collect()}
+    got = {r.id: r.p for r in scoring.pct_rank_avg(df, "v", "p", parts=5).collect()}
     want = pandas_rank([None if (v is not None and math.isnan(v)) else v for v in vals])
     assert all(got[i] == want[i] for i in range(len(vals)))
 
@@ -88,11 +87,10 @@ def test_narrative_edges(spark):
     assert lines[-1].startswith("Overall portfolio efficiency is strong")  # n=2: mean 75
 
 
-@pytest.mark.parametrize("method", ["window", "range"])
-def test_pct_rank_nulls_worst_matches_pandas_top(spark, method):
+def test_pct_rank_nulls_worst_matches_pandas_top(spark):
     vals = [None, 3.0, 1.0, None, 3.0, 2.0, float("nan")]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, v double")
-    got = {r.id: r.p for r in scoring.pct_rank_avg(df, "v", "p", parts=3, method=method,
+    got = {r.id: r.p for r in scoring.pct_rank_avg(df, "v", "p", parts=3,
                                                    nulls="worst").collect()}
     want = pd.Series(vals, dtype="float64").rank(pct=True, na_option="top").tolist()
     assert [got[i] for i in range(len(vals))] == want
