@@ -1,4 +1,4 @@
-"""The operators' queries over whole tables, by name, and SQL where it can express them."""
+"""The operators' queries over whole tables, by name."""
 
 from __future__ import annotations
 
@@ -39,5 +39,5 @@ def pipeline(spark, sf_dir: str):
 
 
 def oracle_sql() -> dict[str, str]:
-    """op3 alone is SQL: the others learn, or hash what SQL cannot hash alike."""
+    """None: the operators learn, or compare windows in ways that SQL over whole tables is too slow for; tests hold them against plain versions."""
     return {}
