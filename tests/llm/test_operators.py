@@ -119,6 +119,30 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates.classes(empty).count() == 0
 
 
+def test_near_duplicates_among_texts_of_one_template(spark):
+    common.prepare(spark)
+    g = random.Random(5)
+    template = [f"w{g.randint(0, 5000)}" for _ in range(300)]
+
+    def edited(w, m):
+        w = list(w)
+        for i in g.sample(range(len(w)), m):
+            w[i] = f"x{g.randint(0, 10**7)}"
+        return w
+
+    made = [w for _ in range(80) for w in [edited(template, 4)] for w in (w, edited(w, 3))]
+    sets = [Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4)) for w in made]
+    lead = list(range(len(made)))
+    for b in range(len(made)):
+        for a in range(b):
+            common_ = sum((sets[a] & sets[b]).values())
+            if lead[a] != lead[b] and common_ >= 0.8 * (2 * 296 - common_):
+                x, y = sorted((lead[a], lead[b]))
+                lead = [x if z == y else z for z in lead]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
+    assert [r.class_id for r in near_duplicates.classes(docs).orderBy("doc_id").collect()] == lead
+
+
 def test_pii_base_and_whole(docs, empty):
     t = rows()[-4][1]
     found = {(pii.KINDS[k], t[a:b]) for k, a, b in pii.base_spans(t)}
