@@ -1,12 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are cut into passages of 32 words, one every 16.  A passage's vector holds
-a weight ln(N / df) for each of its words that the benchmark uses; its norm counts all its
-words.  Passages of which too little is benchmark vocabulary to hold much of an item are
-left out.  A randomised SVD, summed over partitions, of the others and the
-benchmark's own passages (of the same total weight) gives a latent space, in which items whose cosine is high become
-candidates.  A candidate counts if the longest common subsequence with the words about the passage
-covers most of the item, and most of the item's answer words (its rarest) are there.
+Documents are cut into passages of 32 words, one every 16, and items of more than 64 words into
+parts.  A vector holds a weight ln(N / df) for each word that the benchmark uses.  Passages are searched
+for the items of which enough answer words (the rarest) stand about them.  A randomised SVD, summed over
+partitions, of these passages and the parts (of the same total weight), together with the parts
+themselves, spans a latent space for a bounded number of parts.  Items become candidates whose inner
+product with the passage is a good share of the smaller of both squared norms there, which any verbatim
+copy reaches.  A candidate counts if the longest common subsequence with the words about the passage
+covers most of the item, and most of its answer words are there.
 """
 
 from __future__ import annotations
@@ -25,12 +26,16 @@ from .words import Vocabulary, word_hashes
 STEP = 16
 #: Words of a passage.
 WIDTH = 2 * STEP
-COSINE, COVERED, ANSWERS = 0.3, 0.6, 0.5
-#: Least share of a passage's squared weights that is benchmark vocabulary.
-ENERGY = 0.4
+#: Least overlap of a candidate.  A copy of a part reaches 1/3: it lies in five cells at most, so in three passages.
+OVERLAP = 0.3
+COVERED, ANSWERS = 0.6, 0.5
+#: Most words of a part of an item.
+PART = 2 * WIDTH
 #: Rarest words of an item that stand for its answer.
 ANSWER_WORDS = 4
 RANK, SPARE, ROUNDS = 256, 8, 2
+#: Parts that share a latent space: fewer than its rank.
+SPACE = 240
 #: Items searched for at once: bounds the broadcast; more items take more rounds.
 ITEMS = 2000
 #: Vocabulary rows of a partial sum that travel together.
@@ -48,19 +53,52 @@ class Items:
         self.words = [numbers[a:b] for a, b in zip(first, first[1:])]
         self.longest = max(map(len, self.words), default=0)
         self.weights = np.zeros(len(self.vocabulary.hashes))
-        self.other = 0.0
+        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.parts = [np.array_split(w, -(-len(w) // PART)) if len(w) else [] for w in self.words]
+        self.space, n, k = np.zeros(len(self.words), dtype=np.int64), 0, 0
+        for i, own in enumerate(self.parts):  # an item of more parts has a space, of a higher rank, of its own
+            if n and n + len(own) > SPACE:
+                n, k = 0, k + 1
+            n, self.space[i] = n + len(own), k
 
     def weigh(self, total: int, df: dict[int, int]) -> None:
         n = np.array([df.get(k, 0) for k in range(len(self.weights))], dtype=float)
         self.weights = np.log((total + 2) / (n + 1))
-        self.other = 0.6 * math.log(total + 2)  # a word outside the benchmark is taken for a rare one
         self.answers = []
         for w in self.words:
             kinds = np.unique(w)
             self.answers.append(frozenset(kinds[np.argsort(-self.weights[kinds], kind="stable")[:ANSWER_WORDS]].tolist()))
-
-    def energy(self, word: np.ndarray) -> np.ndarray:
-        return np.where(word >= 0, self.weights[word] if len(self.weights) else 0.0, self.other) ** 2
+        self.need = np.array([max(1, math.ceil(ANSWERS * len(a))) for a in self.answers])
+        rows = np.array(sorted((w, i, 1 << k) for i, a in enumerate(self.answers) for k, w in enumerate(sorted(a))), dtype=np.int64).reshape(-1, 3)
+        self.answer_item, self.answer_bit = rows[:, 1], rows[:, 2]
+        self.answer_first = np.searchsorted(rows[:, 0], np.arange(len(self.weights) + 1))
+
+    def holding(self, key: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """The keys (place times items, plus item) whose bits together are enough answer words of the item."""
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+        if not len(start):
+            return key
+        return key[start][np.bitwise_count(np.bitwise_or.reduceat(bit[order], start)) >= self.need[key[start] % len(self.ids)]]
+
+    def pairs(self, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, item): the passages, by the number of their first cell, and the items of which enough answer words
+        stand among the passage's words and, on both sides of it, as many as the item has."""
+        known, n = np.flatnonzero(word >= 0), len(self.ids)
+        count = self.answer_first[word[known] + 1] - self.answer_first[word[known]]
+        at = np.repeat(known, count)
+        entry = np.repeat(self.answer_first[word[known]], count) + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        item, bit, text = self.answer_item[entry], self.answer_bit[entry], np.searchsorted(first, at, side="right") - 1
+        own = np.isin(text * n + item, self.holding(text * n + item, bit))  # in the whole text first
+        at, item, bit, text = at[own], item[own], bit[own], text[own]
+        sizes = -(-np.diff(first) // STEP)
+        place, reach = at - first[text], self.sizes[item]
+        low = np.maximum((place - WIDTH - reach) // STEP + 1, 0)
+        count = np.minimum((place + reach) // STEP, sizes[text] - 1) - low + 1
+        cell = np.repeat((np.cumsum(sizes) - sizes)[text] + low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        key = self.holding(cell * n + np.repeat(item, count), np.repeat(bit, count))
+        return key // n, key % n
 
 
 def read_items(benchmark: DataFrame) -> Iterator[Items]:
@@ -107,43 +145,44 @@ def frequencies(docs: DataFrame, shared) -> tuple[int, dict[int, int]]:
 
 
 def passages(docs: DataFrame, shared) -> DataFrame:
-    """(doc_id, place, head, words): the passages with enough benchmark vocabulary, with the words about
-    them as numbers of the vocabulary, -1 for others."""
+    """(doc_id, place, head, words, space, items): the passages and, for each latent space, the items of which
+    enough answer words stand about them; with the words about them as numbers of the vocabulary, -1 for others."""
     import pyarrow as pa
 
+    names = ["doc_id", "place", "head", "words", "space", "items"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+
     def run(batches):
         items = shared.value
         for ids, found in grouped_bytes(batches):
             hashes, _, _, first, _ = word_hashes(found, GAP, FOLD)
-            cell, text, start = cells(first)
-            if not len(start):
-                continue
+            _, text, start = cells(first)
             word = items.vocabulary.find(hashes)
-            energy = items.energy(word)
-            known = np.bincount(cell, energy * (word >= 0), minlength=len(start) + 1)
-            every = np.bincount(cell, energy, minlength=len(start) + 1)
-            joins = np.append(text[1:] == text[:-1], False)
-            inside = known[:-1] + np.where(joins, known[1:], 0)
-            whole = every[:-1] + np.where(joins, every[1:], 0)
-            rows: list[list] = [[], [], [], []]
-            for c in np.flatnonzero((inside >= ENERGY * whole) & (inside > 0)):
-                k, a = text[c], start[c]
-                lo, hi = max(first[k], a - items.longest), min(first[k + 1], a + WIDTH + items.longest)
-                for col, v in zip(rows, (ids[k], int(a - first[k]), int(a - lo), word[lo:hi].astype(np.int32).tobytes())):
+            cell, item = items.pairs(word, first)
+            if not len(cell):
+                continue
+            new = np.flatnonzero(np.append(True, (np.diff(cell) != 0) | (np.diff(items.space[item]) != 0)))
+            rows: list[list] = [[] for _ in names]
+            for x, y in zip(new, np.append(new[1:], len(cell))):
+                k, a, reach = text[cell[x]], start[cell[x]], int(items.sizes[item[x:y]].max())
+                lo, hi = max(first[k], a - reach), min(first[k + 1], a + WIDTH + reach)
+                row = (ids[k], int(a - first[k]), int(a - lo), word[lo:hi].astype(np.int32).tobytes(), int(items.space[item[x]]), item[x:y].astype(np.int32).tobytes())
+                for col, v in zip(rows, row):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.binary())],
-                                             names=["doc_id", "place", "head", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(rows, kinds)], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, place long, head int, words binary")
+    return docs.mapInArrow(run, "doc_id long, place long, head int, words binary, space int, items binary")
 
 
-def vectors(items: Items, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of passages, scaled to length 1 over all their words: (row, word, value)."""
+def vectors(items: Items, found: list[np.ndarray], scaled: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows of passages, scaled to about length 1 if wanted: (row, word, value)."""
     row = np.repeat(np.arange(len(found)), [len(w) for w in found])
     word = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
-    norm = np.sqrt(np.bincount(row, items.energy(word), minlength=len(found)))
-    known = word >= 0
-    return row[known], word[known], items.weights[word[known]] / np.maximum(norm, 1e-12)[row[known]]
+    row, word = row[word >= 0], word[word >= 0]
+    value = items.weights[word]
+    if scaled:
+        value = value / np.maximum(np.sqrt(np.bincount(row, value * value, minlength=len(found))), 1e-12)[row]
+    return row, word, value
 
 
 def summed(to: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -161,8 +200,9 @@ def times(row, word, value, basis: np.ndarray, n: int) -> np.ndarray:
     return summed(row, basis[word] * value[:, None].astype(basis.dtype), n)
 
 
-def latent_space(kept: DataFrame, items: Items) -> np.ndarray:
-    """Right singular vectors (vocabulary x rank) of the passages' matrix, by a randomised SVD.
+def latent_space(kept: DataFrame, items: Items, own: list[np.ndarray], n: int) -> np.ndarray:
+    """Basis (vocabulary x rank) of the parts ``own`` and, as far as the rank goes, of the right singular
+    vectors of the matrix of the ``n`` passages and the parts, by a randomised SVD.
 
     Each round multiplies by the matrix and its transpose: partitions sum their share, shares
     add up by slices of the vocabulary.
@@ -172,8 +212,7 @@ def latent_space(kept: DataFrame, items: Items) -> np.ndarray:
     spark, size = kept.sparkSession, len(items.weights)
     width = min(RANK + SPARE, size)
     basis = np.random.default_rng(23).normal(size=(size, width))
-    own = [w for w in items.words if len(w)]
-    weight = max(1.0, kept.count() / len(own))
+    weight = max(1.0, n / len(own))
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((items, basis.astype(np.float32)))
 
@@ -196,7 +235,8 @@ def latent_space(kept: DataFrame, items: Items) -> np.ndarray:
             y[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] += np.frombuffer(r["data"]).reshape(-1, width)
         shared.unpersist()
         basis = np.linalg.qr(y)[0]
-    return basis[:, :RANK]
+    parts = summed(word, np.eye(len(own))[row] * value[:, None], size)
+    return np.linalg.qr(np.hstack([parts, basis]))[0][:, : max(RANK, len(own) + SPARE)]
 
 
 def common_subsequence(item: np.ndarray, words: np.ndarray) -> int:
@@ -214,31 +254,38 @@ def common_subsequence(item: np.ndarray, words: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
-def search(kept: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
-    """(doc_id, item_id, place, cosine, covered, answers) of the passages that hold an item."""
+def search(kept: DataFrame, items: Items, basis: np.ndarray, mine: list[int]) -> DataFrame:
+    """(doc_id, item_id, place, cosine, covered, answers) of the passages that hold one of the items ``mine``."""
     import pandas as pd
 
-    row, word, value = vectors(items, items.words)
-    shared = kept.sparkSession.sparkContext.broadcast((items, basis.astype(np.float32), times(row, word, value, basis, len(items.words)).astype(np.float32)))
+    own = [w for i in mine for w in items.parts[i]]
+    row, word, value = vectors(items, own, scaled=False)
+    shared = kept.sparkSession.sparkContext.broadcast((items, basis.astype(np.float32), times(row, word, value, basis, len(own)).astype(np.float32)))
 
     def run(batches):
         it, q, targets = shared.value
+        column = np.full(len(it.ids), -1)
+        column[mine] = np.arange(len(mine))
+        first = np.cumsum([0, *(len(it.parts[i]) for i in mine)])[:-1]
+        norms = (targets * targets).sum(axis=1)
         for pdf in batches:
-            words = [np.frombuffer(w, np.int32) for w in pdf["words"]]
-            row, word, value = vectors(it, [w[h : h + WIDTH] for w, h in zip(words, pdf["head"])])
-            cosines = times(row, word, value, q, len(words)) @ targets.T
+            words, wanted = ([np.frombuffer(w, np.int32) for w in pdf[c]] for c in ("words", "items"))
+            row, word, value = vectors(it, [w[h : h + WIDTH] for w, h in zip(words, pdf["head"])], scaled=False)
+            latent = times(row, word, value, q, len(words))
+            inner, own_norms = latent @ targets.T, (latent * latent).sum(axis=1)[:, None]
+            overlap = np.maximum.reduceat(inner / np.maximum(np.minimum(own_norms, norms), 1e-9), first, axis=1)
+            cosines = np.maximum.reduceat(inner / np.maximum(np.sqrt(own_norms * norms), 1e-9), first, axis=1)
+            p = np.repeat(np.arange(len(words)), [len(w) for w in wanted])
+            k = np.concatenate([*wanted, np.zeros(0, np.int32)])
+            near = overlap[p, column[k]] >= OVERLAP
             found = []
-            last, there = -1, frozenset()
-            for p, k in zip(*(x.tolist() for x in np.nonzero(cosines >= COSINE))):
-                if p != last:
-                    last, there, head = p, frozenset(words[p].tolist()), int(pdf["head"].iloc[p])
-                answers = len(it.answers[k] & there) / len(it.answers[k])
-                if answers < ANSWERS:  # the quicker check first
-                    continue
-                size = len(it.words[k])
-                covered = common_subsequence(it.words[k], words[p][max(head - size, 0) : head + WIDTH + size]) / size
+            for p, k in zip(p[near].tolist(), k[near].tolist()):
+                head, size = int(pdf["head"].iloc[p]), len(it.words[k])
+                about = words[p][max(head - size, 0) : head + WIDTH + size]
+                covered = common_subsequence(it.words[k], about) / size
                 if covered >= COVERED:
-                    found.append((pdf["doc_id"].iloc[p], it.ids[k], int(pdf["place"].iloc[p]), float(cosines[p, k]), covered, answers))
+                    answers = len(it.answers[k].intersection(about.tolist())) / len(it.answers[k])
+                    found.append((pdf["doc_id"].iloc[p], it.ids[k], int(pdf["place"].iloc[p]), float(cosines[p, column[k]]), covered, answers))
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "place", "cosine", "covered", "answers"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
     return kept.mapInPandas(run, "doc_id long, item_id long, place long, cosine double, covered double, answers double")
@@ -259,8 +306,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(items)
         items.weigh(*frequencies(d, shared))
         shared = spark.sparkContext.broadcast(items)
-        kept = written(passages(d, shared), "passages")
-        found = search(kept, items, latent_space(kept, items))
+        every = written(passages(d, shared), "passages")
+        found = None
+        for r in every.groupBy("space").count().orderBy("space").collect():
+            kept = every.filter(F.col("space") == r["space"])
+            mine = [i for i in np.flatnonzero(items.space == r["space"]).tolist() if len(items.words[i])]
+            more = search(kept, items, latent_space(kept, items, [w for i in mine for w in items.parts[i]], r["count"]), mine)
+            found = more if found is None else found.unionByName(more)
+        if found is None:
+            continue
         best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", "cosine", "answers", (-F.col("place")).alias("back"))).alias("m"))
         rows = best.select("doc_id", "item_id", (-F.col("m.back")).alias("place"), "m.cosine", "m.covered", "m.answers")
         out = rows if out is None else out.unionByName(rows)

@@ -232,6 +232,48 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.keep_clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def held(documents, items):
+    """Brute force: (doc, item) with most of the item's words in order about one place, and half of its four rarest
+    words; surely, and if words of one frequency are taken the other way."""
+    of = lambda t: re.findall(r"[^\W_]+", t.lower())
+    texts_, wanted = {i: of(t) for i, t in documents}, {i: of(t) for i, t in items}
+    df = Counter(x for w in texts_.values() for a in range(0, len(w), 16) for x in set(w[a:a + 16]))
+    sets, numbers = {d: set(t) for d, t in texts_.items()}, {}
+    code = lambda w: np.array([numbers.setdefault(x, len(numbers)) for x in w])
+    sure, possible = set(), set()
+    for i, w in wanted.items():
+        kinds = sorted(set(w), key=lambda x: df[x])
+        n, last = min(4, len(kinds)), df[kinds[min(4, len(kinds)) - 1]]
+        rarer, tied = {x for x in kinds if df[x] < last}, {x for x in kinds if df[x] == last}
+        for d, t in texts_.items():
+            if 2 * len(sets[d].intersection(kinds)) < len(kinds):
+                continue
+            for a in range(0, len(t), 16):
+                about = t[max(a - len(w), 0):a + 32 + len(w)]
+                if decontamination.common_subsequence(code(w), code(about)) >= 0.6 * len(w):
+                    there, slots = len(rarer & set(about)), n - len(rarer)
+                    if 2 * (there + min(slots, len(tied & set(about)))) >= n:
+                        possible.add((d, i))
+                    if 2 * (there + max(0, slots - len(tied - set(about)))) >= n:
+                        sure.add((d, i))
+    return sure, possible
+
+
+def test_decontamination_of_more_items_than_the_rank(spark):
+    """Each item of 600 stands whole in one document and with every fifth word changed in another."""
+    common.prepare(spark)
+    v, g = vocabulary(11, 3000), random.Random(4)
+    text = lambda n: " ".join(g.choice(v) for _ in range(n))
+    items = [(i, text(g.randint(16, 60))) for i in range(600)]
+    changed = lambda t: " ".join("other" if k % 5 == 2 else w for k, w in enumerate(t.split(" ")))
+    documents = [(i, f"{text(40)} {t} {text(40)}") for i, t in items] + [(1000 + i, f"{text(40)} {changed(t)} {text(40)}") for i, t in items]
+    docs = spark.createDataFrame(documents, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(i, i) for i, _ in items} <= found
+    sure, possible = held(documents, items)
+    assert len(sure) > 900 and sure <= found <= possible
+
+
 def test_common_subsequence():
     g = random.Random(1)
     for _ in range(200):
