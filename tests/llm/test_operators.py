@@ -274,6 +274,21 @@ def test_decontamination_of_more_items_than_the_rank(spark):
     assert len(sure) > 900 and sure <= found <= possible
 
 
+def test_decontamination_of_short_and_long_items(spark):
+    """Copies amid words that the benchmark lacks, in a corpus of many cells, and items longer than a passage."""
+    common.prepare(spark)
+    v, g = vocabulary(13, 2000), random.Random(6)
+    text = lambda n: " ".join(g.choice(v[:1000]) for _ in range(n))
+    foreign = lambda n: " ".join(f"{g.choice(v[1000:])}q{g.randint(0, 9)}" for _ in range(n))
+    items = [(i, text(3 + i % 20)) for i in range(40)] + [(40 + i, text(n)) for i, n in enumerate((65, 400, 1000, 2500))]
+    documents = [(i, f"{foreign(g.randint(40, 60))} {t} {foreign(50)}") for i, t in items] + [(100 + i, f"{text(3000)} {foreign(3000)}") for i in range(10)]
+    docs = spark.createDataFrame(documents, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    sure, possible = held(documents[:40], items[:40])
+    assert {(i, i) for i, _ in items} <= found and sure <= found
+    assert {x for x in found if x[0] < 40 and x[1] < 40} <= possible
+
+
 def test_common_subsequence():
     g = random.Random(1)
     for _ in range(200):
