@@ -2,10 +2,11 @@
 
 The network (numpy) reads characters in both directions; a linear-chain CRF over
 outside / begin / inside tags of four kinds scores its outputs.  It learns from spans that the patterns
-mark in a bounded sample of documents, some of them rewritten into forms that the
-patterns miss.  Every kind holds a digit or an at sign, so only the windows about those
-characters can hold a span: these are decoded, overlapping, and where two windows disagree
-the tags of the one whose centre is nearer count.
+mark in a bounded sample of documents, and from made spans of every kind in forms that the
+patterns miss.  Every kind holds a digit, an at sign or a spelt-out one, so only the windows about those
+can hold a span: these are decoded, overlapping, and where two windows disagree
+the tags of the one whose centre is nearer count.  A span of the network counts if it reads as one of its
+kind, with a margin that rewritten spans held out from training set.
 """
 
 from __future__ import annotations
@@ -27,13 +28,25 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
+#: An at sign, or a word for it.
+AT = re.compile(r"@|[(\[{] ?at ?[)\]}]|\bat\b(?=[^@]{1,60}?\bdot\b)", re.IGNORECASE)
+#: An address with its at sign and at least one dot written with spaces, brackets or words.
+LOOSE = re.compile(r"[A-Za-z0-9._%+-]+(?:\s*[(\[{]\s*(?:at|@)\s*[)\]}]\s*|\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s*[(\[{]\s*(?:dot|\.)\s*[)\]}]\s*|\s+dot\s+|\s*\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
+#: Digits of a number and what may stand between them, and the other characters of a number.
+GROUPS = re.compile(r"[0-9]+")
+RUN = re.compile(r"[0-9]+(?:(?:[\s.,:/()\[\]_-]{1,5}|\s?dot\s?)[0-9]+)*", re.IGNORECASE)
+BETWEEN = re.compile(r"[0-9\s.,:/()\[\]+_-]|dot", re.IGNORECASE)
+
 #: Bound of the training sample, in windows around marked spans and windows without any.
 SAMPLE_DOCS = 1500
 HIDDEN, EMBED = 24, 12
 LENGTH, STRIDE = 96, 48
-STEPS, BATCH, RATE = 160, 48, 0.02
-#: Least mean margin (log-odds against "outside") of an added span.
-LEAST_MARGIN = 4.0
+STEPS, BATCH, RATE = 320, 48, 0.02
+#: Least mean margins (log-odds against "outside") of an added span to choose from, and the share of the
+#: held-out spans added at it that must be right.
+MARGINS, PRECISION = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0), 0.98
+#: One in so many texts is held out to choose the margin.
+HELD_OUT = 5
 TAGS = 1 + 2 * len(KINDS)  # 0 outside, 1 + 2k begin, 2 + 2k inside
 
 
@@ -92,6 +105,7 @@ class Tagger:
 
     def __init__(self, seed: int = 3):
         g = np.random.default_rng(seed)
+        self.margin = MARGINS[-1]
         n = lambda *s: g.normal(0, 0.15, s).astype(np.float32)
         self.p = {"e": n(98, EMBED), "o": n(2 * HIDDEN, TAGS), "ob": np.zeros(TAGS, np.float32), "t": np.zeros((TAGS, TAGS), np.float32)}
         for d in "fb":
@@ -194,23 +208,55 @@ def tags_of(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return y
 
 
-def rewritten(text: str, spans: list, g: np.random.Generator) -> tuple[str, list]:
-    """One span put into a form that the patterns miss, as a labelled example."""
-    kind, a, b = spans[int(g.integers(len(spans)))]
-    old = text[a:b]
+def loosened(kind: int, old: str, g: np.random.Generator) -> str:
+    """A span in a form that the patterns miss."""
+    pick = lambda *of: of[int(g.integers(len(of)))]
+    if kind == 0:
+        at, dot = pick((" @ ", "."), ("@ ", "."), (" (at) ", "."), (" (at) ", " dot "), (" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] "))
+        name, _, host = old.partition("@")
+        return name + at + host.replace(".", dot)
+    if kind == 1:
+        return old.replace(".", pick(" . ", ". ", " .", "[.]", "(.)", " dot ", ".\n"))
+    if kind == 2:
+        d = "".join(GROUPS.findall(old))
+        return pick(".", "  ", "\n", " - ", "/", "_", ". ").join(d[k : k + 4] for k in range(0, len(d), 4))
+    return old.replace("+", "00", 1)
+
+
+def made(kind: int, g: np.random.Generator) -> str:
+    """A span of the kind, as the patterns find it."""
+    word = lambda a, b: "".join(chr(97 + int(c)) for c in g.integers(0, 26, int(g.integers(a, b))))
     if kind == 0:
-        new = old.replace("@", g.choice([" @ ", "@ "]))
-    elif kind == 3:
-        new = old.replace("+", "00", 1)
-    else:
-        return text, spans
-    shift = len(new) - len(old)
+        return word(2, 9) + ("." + word(2, 9) if g.random() < 0.4 else "") + (str(g.integers(100)) if g.random() < 0.3 else "") + "@" + ".".join([word(3, 10), *([word(3, 8)] if g.random() < 0.3 else []), ("com", "org", "net", "de", "io")[int(g.integers(5))]])
+    if kind == 1:
+        return ".".join(str(x) for x in g.integers(0, 256, 4))
+    if kind == 2:
+        d = str(g.integers(3, 7)) + "".join(str(x) for x in g.integers(0, 10, 14))
+        if g.random() < 0.4:  # many test numbers repeat a digit
+            d = d[:4] + d[4] * 4 + d[int(g.integers(4, 6))] * 4 + d[12:]
+        d += next(c for c in "0123456789" if luhn(d + c))
+        return " ".join(d[k : k + 4] for k in range(0, 16, 4))
+    return f"+{g.integers(1, 99)} " + (" ", "-")[int(g.integers(2))].join(str(x) for x in (g.integers(100, 1000), g.integers(100, 1000), g.integers(1000, 10000)))
+
+
+def rewritten(text: str, spans: list, g: np.random.Generator) -> tuple[str, list, int]:
+    """A labelled example, with its place: one span put into a form that the patterns miss, or one of a kind made."""
+    if spans and g.random() < 0.4:
+        kind, a, b = spans[int(g.integers(len(spans)))]
+        old = text[a:b]
+    else:  # between two words outside the spans
+        kind = int(g.integers(len(KINDS)))
+        gaps = [m.start() + 1 for m in re.finditer(" ", text) if not any(a <= m.start() + 1 <= b for _, a, b in spans)] or [len(text)]
+        a = b = gaps[int(g.integers(len(gaps)))]
+        old = made(kind, g)
+    new, tail = loosened(kind, old, g), "" if b > a else " "
+    shift = len(new) + len(tail) - (b - a)
     others = [s for s in spans if s[2] <= a] + [(k, s + shift, e + shift) for k, s, e in spans if s >= b]
-    return text[:a] + new + text[b:], [*others, (kind, a, a + len(new))]
+    return text[:a] + new + tail + text[b:], [*others, (kind, a, a + len(new))], a
 
 
 def train(found: list[str], steps: int = STEPS, seed: int = 3) -> Tagger | None:
-    """Adam on windows around the spans that the patterns mark, and on others; None without any span."""
+    """Adam on windows around the spans that the patterns mark, rewritten and made ones, and others; None without any text."""
     g, xs, ys = np.random.default_rng(seed), [], []
 
     def take(text, spans, at):
@@ -221,14 +267,13 @@ def train(found: list[str], steps: int = STEPS, seed: int = 3) -> Tagger | None:
         x[: len(c[part])], t[: len(c[part])] = c[part], y[part]
         xs.append(x), ys.append(t)
 
-    for text in found:
+    for text in [t for k, t in enumerate(found) if k % HELD_OUT or len(found) < HELD_OUT]:
         spans = base_spans(text)
         for s in spans[:6]:
             take(text, spans, s[1])
-            if g.random() < 0.3:
-                other, marked = rewritten(text, spans, g)
-                take(other, marked, s[1])
-        for m in list(DIGITS.finditer(text))[:40:8] or ([re.match("", text)] if g.random() < 0.3 else []):
+        for _ in range(2):
+            take(*rewritten(text, spans, g))
+        for m in list(DIGITS.finditer(text))[:40:8] + list(AT.finditer(text))[:2] or ([re.match("", text)] if g.random() < 0.3 else []):
             take(text, spans, m.start())
     if not any(y.any() for y in ys):
         return None
@@ -237,24 +282,73 @@ def train(found: list[str], steps: int = STEPS, seed: int = 3) -> Tagger | None:
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         pick = g.integers(0, len(x), BATCH)
+        rate = RATE * min(1.0, 2 * (1 - (step - 1) / steps))  # the second half falls to nothing
         for k, grad in net.gradient(x[pick], y[pick]).items():
             grad = np.clip(grad, -1, 1)
             first[k] += 0.1 * (grad - first[k])
             second[k] += 0.01 * (grad * grad - second[k])
-            net.p[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+            net.p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+    net.margin = least_margin(net, found[::HELD_OUT], g)
     return net
 
 
-def added_spans(found: list[str], base: list[list], net: Tagger | None) -> list[list[tuple[int, int, int]]]:
-    """Spans that the network finds beside the base spans, for several texts."""
+def least_margin(net: Tagger, held_out: list[str], g: np.random.Generator) -> float:
+    """The least margin at which enough of the spans added to held-out texts, each also with a rewritten span, lie in marked ones."""
+    plain = [(t, base_spans(t)) for t in held_out]
+    pairs = plain + [rewritten(t, s, g)[:2] for t, s in plain for _ in range(2)]
+    net.margin, margins = MARGINS[0], []
+    added = added_spans([t for t, _ in pairs], [base_spans(t) for t, _ in pairs], net, margins)
+    right = [any(s[0] == k and a < s[2] and s[1] < b for s in marked) for (_, marked), spans in zip(pairs, added) for k, a, b in spans]
+    for least in MARGINS:
+        kept = [r for r, m in zip(right, margins) if m >= least]
+        if sum(kept) >= PRECISION * len(kept):
+            return least
+    return MARGINS[-1]
+
+
+def reads_as(kind: int, span: str) -> tuple[int, int] | None:
+    """Start and end within the span of what reads as its kind; None if nothing does."""
+    if kind == 0:
+        m = LOOSE.search(span)
+        return m.span() if m else None
+    groups = list(GROUPS.finditer(span))
+    digits = "".join(m.group() for m in groups)
+    if not groups:
+        return None
+    edges = groups[0].start() - (kind == 3 and span[: groups[0].start()].endswith("+")), groups[-1].end()
+    if BETWEEN.sub("", span[edges[0] : edges[1]]):
+        return None
+    if kind == 1:
+        return edges if len(groups) == 4 and all(len(m.group()) <= 3 and int(m.group()) <= 255 for m in groups) and "\n\n" not in span else None
+    if kind == 2:
+        return edges if 13 <= len(digits) <= 19 and luhn(digits) else None
+    return edges if 9 <= len(digits) <= 15 else None
+
+
+def completed(text: str, kind: int, a: int, b: int) -> tuple[int, int]:
+    """The span with what the network missed at its edges: the address that it is part of, or cut off digits."""
+    if kind == 0:
+        low = max(0, a - LENGTH)
+        while low > 0 and LEFT.match(text[low - 1]):
+            low -= 1
+        return next((m.span() for m in LOOSE.finditer(text, low, b + LENGTH) if m.start() < b and a < m.end()), (a, b))
+    while a > 0 and text[a - 1] in "0123456789" and text[a] in "0123456789":
+        a -= 1
+    while b < len(text) and text[b] in "0123456789" and text[b - 1] in "0123456789":
+        b += 1
+    return a, b
+
+
+def added_spans(found: list[str], base: list[list], net: Tagger | None, margins: list | None = None) -> list[list[tuple[int, int, int]]]:
+    """Spans that the network finds beside the base spans, for several texts; their margins go to ``margins``."""
     out: list[list] = [[] for _ in found]
     if net is None:
         return out
     rows, owner, start, chars = [], [], [], {}
     for k, text in enumerate(found):
         free, hits = text, [m.start() for m in DIGITS.finditer(text)] if DIGITS.search(text) else []
-        if "@" in text:
-            hits += [m.start() for m in re.finditer("@", text)]
+        if "@" in text or "at" in text.lower():
+            hits += [m.start() for m in AT.finditer(text)]
         if not hits:
             continue
         covered = np.zeros(len(free), dtype=bool)
@@ -290,10 +384,18 @@ def added_spans(found: list[str], base: list[list], net: Tagger | None) -> list[
             b = a + 1
             while b < len(y) and y[b] == 2 + 2 * kind[a]:
                 b += 1
-            span, digits = text[a:b], sum(c in "0123456789" for c in text[a:b])
-            plausible = ("@" in span and "." in span) if kind[a] == 0 else 9 <= digits <= 15 if kind[a] == 3 else False
-            if plausible and g[a:b].mean() >= LEAST_MARGIN and not any(s < b and a < e for _, s, e in base[k]):
-                out[k].append((int(kind[a]), int(a), int(b)))
+            score = g[a:b].mean()
+            lo, hi = completed(text, kind[a], a, b)
+            read = [(k, lo, hi) for k in ((0,) if kind[a] == 0 else (kind[a], 2, 1))]  # a number can be of another kind
+            if kind[a]:  # or tagged in pieces
+                read += [(k, *m.span()) for m in RUN.finditer(text, max(0, lo - LENGTH // 2), hi + LENGTH // 2) if m.start() < hi and lo < m.end() for k in (2, 1)]
+            part = next(((int(k), int(x + p[0]), int(x + p[1])) for k, x, y in read if (p := reads_as(k, text[x:y]))), None)
+            if part and score >= net.margin:
+                _, lo, hi = part
+                if not any(s < hi and lo < e for _, s, e in base[k]):
+                    out[k].append(part)
+                    if margins is not None:
+                        margins.append(score)
     return out
 
 
@@ -304,9 +406,9 @@ def find(found: list[str], net: Tagger | None) -> list[tuple[list, list]]:
 
 
 def learn(docs: DataFrame) -> Tagger | None:
-    """Train on a bounded sample: the documents with the smallest hashes among those with a digit or at sign."""
-    rows = texts(docs).filter(F.col("text").rlike("[0-9@]") & (F.length("text") < 20000)).orderBy(
-        F.xxhash64("doc_id", F.lit(31)), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS).collect()
+    """Train on a bounded sample: the documents with the smallest hashes, those with a digit or at sign first."""
+    rows = texts(docs).filter(F.col("text").rlike("[^ ]") & (F.length("text") < 20000)).orderBy(
+        (~F.col("text").rlike("[0-9@]")), F.xxhash64("doc_id", F.lit(31)), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS).collect()
     return train([r.text for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.text))])
 
 

@@ -190,6 +190,30 @@ def test_pii_gradient():
         assert abs((up - down) / 2e-3 - grads[k][i]) < 0.02 * abs(grads[k][i]) + 1e-3, k
 
 
+def test_pii_network_adds_variants(spark):
+    """Forms that the patterns miss, planted into texts that the network has not seen; clean texts stay as they are."""
+    every = [r.text for r in common.table(spark, "/root/testdata/sf0.01", "documents").filter("length(text) between 200 and 6000").orderBy("doc_id").collect()]
+    net, g = pii.train(every[:400]), random.Random(8)
+    forms = {"email": ["anna.berg @ posthaus.org", "k.lind (at) nordmail dot net", "maria77 at webhost dot com", "joe [at] shop [dot] de"],
+             "ip": ["192 . 168 . 14 . 7", "10. 0. 31. 255", "172[.]16[.]5[.]99"],
+             "card": ["4111.1111.1111.1111", "5500  0000  0000  0004", "4012\n8888\n8888\n1881"],
+             "phone": ["0049 170 555 1234", "0033-612-555-0198"]}
+    plain = [t for t in every[400:] if not pii.base_spans(t)][:200]
+    clean = plain + ["From 1999 to 2004 it rose 12.5 % in version 1.2.3; look at the dot, 4111 1111 1111 1112 is no card."] * 3
+    assert sum(len(spans) for spans in pii.added_spans(clean, [[] for _ in clean], net)) <= 2
+    for kind, some in forms.items():
+        held, total = 0, 0
+        for t in plain[:60]:
+            w = t.split(" ")
+            k, form = g.randint(1, len(w) - 1), g.choice(some)
+            text = " ".join(w[:k] + [form] + w[k:])
+            assert not any(form in text[a:b] for _, a, b in pii.base_spans(text))
+            (_, spans), = pii.find([text], net)
+            total += 1
+            held += form not in pii.redact(text, spans) and f"[{kind.upper()}]" in pii.redact(text, spans)
+        assert held >= 0.9 * total, (kind, held, total)
+
+
 def test_quality_rules(docs, empty):
     want = []
     for r in rows():
