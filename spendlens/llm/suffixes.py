@@ -1,12 +1,12 @@
-"""Byte-level dedup of long repeats: a logarithmic family of suffix arrays.
+"""Byte-level dedup of long repeats: a logarithmic family of sorted hashes of sampled suffixes.
 
 Suffixes are sampled by their content: of every 400-byte window, the 200-byte string with
 the least hash in it is the window's anchor.  Equal windows have equal anchors at the same
 offset, so only suffixes that start at anchors need indexing, about one in a hundred.
 
 The suffixes are dealt to shards by their first 200 bytes.  In a shard, batches of
-suffixes are sorted, merge-scanned against the levels of the index for equal
-prefixes, and added as a level; levels of equal size merge, so that every suffix is merged
+suffixes are sorted by the hashes of their first bytes, matched with the levels of the index for equal
+hashes, and added as a level; levels of equal size merge, so that every suffix is merged
 a logarithmic number of times.  Anchors whose whole windows' text recurs are settled at once.
 Where only the 200 bytes recur, the match ends nearby: there the 400-byte windows are compared one by
 one (64-bit hashes of whole windows).
@@ -105,7 +105,7 @@ def suffixes(batches, buckets: int):
 
 
 class Levels:
-    """Suffix arrays of falling size over one shard: sorted (key, whole text) with the number of the suffix."""
+    """Levels of falling size over one shard, in place of suffix arrays: (key, whole text) hashes sorted by value, with the number of the suffix."""
 
     def __init__(self):
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
