@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, near_duplicates, pieces, pii, quality_model, quality_rules, substrings, suffixes, toxicity
+from . import decontamination, language_id, near_duplicates, pieces, pii, quality_model, quality_rules, resampling, sql, substrings, suffixes, token_counts, toxicity, vector_codes
 from .common import prepare
 
 
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_pieces": pieces.query,
         "op9_toxicity": toxicity.query,
         "op10_language_id": language_id.query,
+        "op11_resampling": resampling.query,
+        "op12_vector_codes": vector_codes.query,
+        "op13_token_counts": token_counts.query,
         "pipeline": pipeline,
     }
 
@@ -39,5 +42,5 @@ def pipeline(spark, sf_dir: str):
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: the operators learn, or compare windows in ways that SQL over whole tables is too slow for; tests hold them against plain versions."""
-    return {}
+    """The SQL that states a query's rows; the others learn, or compare windows in ways that SQL over whole tables is too slow for: tests hold them against plain versions."""
+    return {"op11_resampling": sql.resampling(), "op12_vector_codes": sql.vector_codes()}
