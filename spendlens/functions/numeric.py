@@ -31,12 +31,17 @@ def nan_to_null(c) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def coerce_numeric(c) -> Column:
-    """Text -> double; anything unparseable, missing or NaN -> 0.0."""
+def parse_number(c) -> Column:
+    """Text -> double; anything unparseable, missing or NaN -> NULL."""
     c = _c(c).cast("string")
     parsed = F.when(~is_na_token(c) & (c.rlike(NUMBER_RE) | F.lower(F.trim(c)).isin(INF_TOKENS)),
                     c.try_cast("double"))
-    return F.coalesce(F.nanvl(parsed, F.lit(None).cast("double")), F.lit(0.0))
+    return F.nanvl(parsed, F.lit(None).cast("double"))
+
+
+def coerce_numeric(c) -> Column:
+    """Text -> double; anything unparseable, missing or NaN -> 0.0."""
+    return F.coalesce(parse_number(c), F.lit(0.0))
 
 
 def to_count(c) -> Column:

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.dates import clean_date_text, parse_dates
 from spendlens.functions.numeric import (coerce_numeric, is_na_token,
-                                         round_money, to_count)
+                                         parse_number, round_money, to_count)
 from spendlens.schema import (FACT_COLUMNS, MISSING_TEXT, PLATFORM_COLUMNS,
                               PLATFORMS)
 
 LINEAGE = ["_source", "_row"]
+# bits of ``_coerced``, in this order: columns whose text gave no value
+COERCED = ["date", "spend", "clicks", "impressions", "conversions", "revenue"]
 
 
 class MissingColumnsError(KeyError):
@@ -53,7 +55,8 @@ def resolve_columns(columns: list[str], platform: str,
     return out
 
 
-def normalize(raw: DataFrame, platform: str, strict_headers: bool = True) -> DataFrame:
+def normalize(raw: DataFrame, platform: str, strict_headers: bool = True,
+              flags: bool = False) -> DataFrame:
     """One platform's raw text columns -> unified fact columns.
 
     Dates that fail every layout become NULL (kept; dropped before
@@ -61,6 +64,8 @@ def normalize(raw: DataFrame, platform: str, strict_headers: bool = True) -> Dat
     half-even, counts truncated toward zero (infinity -> NULL, which the row
     rules reject).  A missing campaign becomes the text 'nan'.
     Lineage columns ``_source`` / ``_row`` are carried when present.
+    ``flags=True`` adds ``_coerced``, a bit for each column of ``COERCED`` whose
+    text was missing or unparseable, taken from the same parse.
     """
     cols = resolve_columns(raw.columns, platform, strict_headers)
     lineage = [F.col(c) for c in LINEAGE if c in raw.columns]
@@ -75,6 +80,19 @@ def normalize(raw: DataFrame, platform: str, strict_headers: bool = True) -> Dat
         return F.col(f"__{u}")
 
     camp = r("campaign_name")
+    if flags:
+        # parsed once, in a projection of its own: a value and its mark read the same parse
+        parsed = staged.select(
+            parse_dates(r("date"), cleaned=True).alias("date"), r("campaign_name"),
+            *[parse_number(r(u)).alias(f"__{u}") for u in COERCED[1:]], *lineage)
+        value = lambda u: F.coalesce(r(u), F.lit(0.0))
+        mark = F.when(F.col("date").isNull(), 1).otherwise(0)
+        for k, u in enumerate(COERCED[1:], 1):
+            mark = mark + F.when(r(u).isNull(), 1 << k).otherwise(0)
+        out = [F.col("date"), F.lit(platform).alias("channel"),
+               F.when(is_na_token(camp), F.lit(MISSING_TEXT)).otherwise(camp).alias("campaign_name"),
+               *[(round_money if u in ("spend", "revenue") else to_count)(value(u)).alias(u) for u in COERCED[1:]]]
+        return parsed.select(*out, *lineage, mark.alias("_coerced"))
     out = [
         parse_dates(r("date"), cleaned=True).alias("date"),
         F.lit(platform).alias("channel"),
@@ -90,7 +108,7 @@ def normalize(raw: DataFrame, platform: str, strict_headers: bool = True) -> Dat
 
 
 def normalize_all(raws: dict[str, DataFrame] | list[tuple[str, DataFrame]],
-                  strict_headers: bool = True) -> DataFrame:
+                  strict_headers: bool = True, flags: bool = False) -> DataFrame:
     """Normalise each (platform, raw) and union by name."""
     items = list(raws.items()) if isinstance(raws, dict) else list(raws)
     if not items:
@@ -99,7 +117,7 @@ def normalize_all(raws: dict[str, DataFrame] | list[tuple[str, DataFrame]],
     for platform, df in items:
         if platform not in PLATFORMS:
             raise ValueError(f"Cannot normalize data for unsupported platform: '{platform}'")
-        parts.append(normalize(df, platform, strict_headers))
+        parts.append(normalize(df, platform, strict_headers, flags))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
