@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ from spendlens.schema import (CHANNEL_ENUM, FACT_COLUMNS, MSG_CHANNEL,
                               MISSING_TEXT, MSG_DATE_MISSING, MSG_GE_ZERO_FLOAT,
                               MSG_GE_ZERO_INT, MSG_MISSING_COLUMNS,
                               PLATFORM_COLUMNS, ROW_REJECT_TEXT)
+from spendlens.session import shared_dir
 
 # FIXED VALUE: message for a count that is not a finite number.
 MSG_FINITE = "Input should be a finite number"
@@ -125,10 +126,7 @@ def rejected_rows(df: DataFrame) -> DataFrame:
     """V4: failing rows as (source, row, message) with the fixed sentence."""
     df, errs = _ruled(df), F.col("__errors")
     src = F.col("_source") if "_source" in df.columns else F.lit(None).cast("string")
-    pre, post = ROW_REJECT_TEXT.split("{row}")
-    mid, end = post.split("{errors}")
-    msg = F.concat(F.lit(pre), _row_id(df).cast("string"), F.lit(mid),
-                   F.array_join(errs, "; "), F.lit(end))
+    msg = _reject_message(df, errs)
     return (df.withColumn("__e", errs).where(F.size("__e") > 0)
             .select(src.alias("source"), _row_id(df).alias("row"), msg.alias("message")))
 
@@ -138,20 +136,54 @@ class ValidationResult:
     schema_errors: list[str]
     valid: DataFrame
     rejected: DataFrame
+    rows: int = 0
+    rejected_rows: int = 0
 
     def is_valid(self) -> bool:
-        """Overall flag: no schema error and no rejected row (one job)."""
-        return not self.schema_errors and self.rejected.isEmpty()
+        """Overall flag: no schema error and no rejected row (known from the pass; no job)."""
+        return not self.schema_errors and not self.rejected_rows
+
+    def combined(self) -> DataFrame:
+        """Both sides as one table: (source, row, accepted, message, is_valid), a row per input row."""
+        ok = self.valid
+        src = F.col("_source") if "_source" in ok.columns else F.lit(None).cast("string")
+        good = ok.select(src.alias("source"), _row_id(ok).alias("row"), F.lit(True).alias("accepted"),
+                         F.lit(None).cast("string").alias("message"))
+        bad = self.rejected.select("source", "row", F.lit(False).alias("accepted"), "message")
+        return good.unionByName(bad).withColumn("is_valid", F.lit(self.is_valid()))
 
 
-def run_validation(df: DataFrame) -> ValidationResult:
-    """V5: schema check -> coercion -> row rules -> split."""
+def _reject_message(df: DataFrame, errs: Column) -> Column:
+    pre, post = ROW_REJECT_TEXT.split("{row}")
+    mid, end = post.split("{errors}")
+    return F.concat(F.lit(pre), _row_id(df).cast("string"), F.lit(mid), F.array_join(errs, "; "), F.lit(end))
+
+
+def run_validation(df: DataFrame, path: str | None = None) -> ValidationResult:
+    """V5: schema check -> coercion -> row rules -> split, in one pass over ``df``.
+
+    Every row is judged once and written at ``path`` (by default below the shared
+    checkpoint folder) in a folder by verdict, ``accepted=true`` with the facts or
+    ``accepted=false`` with the message besides; the counts are metrics of the same job.
+    """
     errs = schema_errors(df)
     if errs:
         return ValidationResult(errs, df, df.sparkSession.createDataFrame(
             [], "source string, row bigint, message string"))
-    co = coerce_types(df)
-    return ValidationResult([], valid_rows(co), rejected_rows(co))
+    spark = df.sparkSession
+    path = path or shared_dir(spark, "validated")
+    judged = _ruled(coerce_types(df))
+    ok = F.size("__errors") == 0
+    seen = Observation("validation")
+    tagged = judged.select(*df.columns, F.when(~ok, _reject_message(df, F.col("__errors"))).alias("__message"), ok.alias("accepted"))
+    tagged = tagged.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("accepted")).alias("rejected"))
+    tagged.write.mode("overwrite").partitionBy("accepted").parquet(path)
+    back = spark.read.schema(tagged.schema).parquet(path)
+    src = F.col("_source") if "_source" in df.columns else F.lit(None).cast("string")
+    return ValidationResult(
+        [], back.where(F.col("accepted")).select(*df.columns),
+        back.where(~F.col("accepted")).select(src.alias("source"), _row_id(df).alias("row"), F.col("__message").alias("message")),
+        seen.get["rows"], seen.get["rejected"])
 
 
 def validation_report(df: DataFrame) -> DataFrame:

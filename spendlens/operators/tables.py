@@ -28,9 +28,21 @@ def _by_channel(df: DataFrame) -> DataFrame:
     return df.select(*FACT_COLUMNS).hint("rebalance", "channel")
 
 
-def append_facts(batch: DataFrame, path: str) -> None:
-    """Append a normalised batch to the table."""
-    _by_channel(batch).write.mode("append").partitionBy("channel").parquet(path)
+def append_facts(batch: DataFrame, path: str, batch_id: str | None = None) -> None:
+    """Append a normalised batch to the table.
+
+    With ``batch_id`` the table is laid out by (batch, channel) and the append is
+    exactly-once: the batch's own folders are replaced when the write commits, so
+    a run that was killed, or is repeated after it finished, leaves each row once.
+    One id stands for the same rows each time.  Without it a repeated append adds
+    the rows again; a table takes either form from its first batch on.
+    """
+    rows = _by_channel(batch)
+    if batch_id is None:
+        rows.write.mode("append").partitionBy("channel").parquet(path)
+        return
+    (rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch", "channel").parquet(path))
 
 
 def split_by_channel(facts: DataFrame, path: str) -> None:

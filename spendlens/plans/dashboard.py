@@ -39,8 +39,8 @@ def ingest_files(spark: SparkSession, paths, validate: str = "schema",
     scan = read_exports(spark, paths, strict_headers)
     facts = scan.facts
     if validate == "full":
-        rejected = quality.rejected_rows(facts)
-        facts = quality.valid_rows(facts)
+        result = quality.run_validation(facts)  # one pass writes both sides
+        facts, rejected = result.valid, result.rejected
     else:
         rejected = spark.createDataFrame([], "source string, row bigint, message string")
     return IngestResult(facts, rejected, scan.rejects, quality.file_summary(facts), scan)

@@ -8,6 +8,7 @@ from spendlens.operators.quality import MSG_FINITE
 from spendlens.plans.oracle import ORDER_LINES, FACTS, q, title
 from spendlens.schema import (CHANNEL_ENUM, EXPECTED_HEADERS, MISSING_TEXT,
                               MSG_CHANNEL, MSG_DATE_MISSING, MSG_GE_ZERO_FLOAT,
+                              MSG_COERCED_DATE, MSG_COERCED_NUMBER,
                               MSG_GE_ZERO_INT, NA_TOKENS, PLATFORM_COLUMNS,
                               PLATFORMS, ROW_REJECT_TEXT)
 from spendlens.sources.testdata import (HEADER_VARIANTS, RAW_CAMPAIGN_PREFIX,
@@ -51,7 +52,8 @@ def raw_cte(p: str) -> str:
     return f"""raw_{p} AS (
   SELECT {cols},
     'raw_{p}' AS _source, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS _row,
-    o_orderpriority AS __prio
+    o_orderpriority AS __prio,
+    'raw_{p}_' || {qs} || '_' || strftime(l_shipdate, '%Y%m') AS __file
   FROM order_lines)"""
 
 
@@ -59,10 +61,14 @@ def is_na(x: str) -> str:
     return f"({x} IS NULL OR {x} IN {lst(NA_TOKENS)})"
 
 
-def coerce(x: str) -> str:
+def parsed_number(x: str) -> str:
     parsed = (f"CASE WHEN NOT {is_na(x)} AND (regexp_full_match({x}, {q(NUMBER_RE)}) "
               f"OR lower(trim({x})) IN {lst(INF_TOKENS)}) THEN TRY_CAST({x} AS DOUBLE) END")
-    return f"COALESCE(CASE WHEN isnan(({parsed})) THEN NULL ELSE ({parsed}) END, CAST(0 AS DOUBLE))"
+    return f"CASE WHEN isnan(({parsed})) THEN NULL ELSE ({parsed}) END"
+
+
+def coerce(x: str) -> str:
+    return f"COALESCE({parsed_number(x)}, CAST(0 AS DOUBLE))"
 
 
 def money(x: str) -> str:
@@ -130,9 +136,9 @@ def header_sets_cte() -> str:
             names = "[" + ", ".join(q(n) for _, n in variant_columns(p, v)) + "]"
             rows.append(f"({q(p)}, {q(prio)}, {names})")
     return f"""layout(platform, prio, names) AS (VALUES {', '.join(rows)}),
-hkeys AS (SELECT DISTINCT o_orderpriority AS prio, year(l_shipdate) AS yr FROM order_lines),
+hkeys AS (SELECT DISTINCT o_orderpriority AS prio, o_custkey AS account FROM orders),
 headers AS (
-  SELECT 'raw_' || platform || '_' || replace(prio, ' ', '_') || '_' || CAST(yr AS VARCHAR) || '.csv' AS file,
+  SELECT 'raw_' || platform || '_' || replace(prio, ' ', '_') || '_' || CAST(account AS VARCHAR) || '.csv' AS file,
          names, platform AS true_platform
   FROM hkeys JOIN layout USING (prio))"""
 
@@ -162,6 +168,39 @@ det AS (
   FROM scores GROUP BY file)"""
 
 
+def profile_sql() -> tuple[str, str, str]:
+    """Type profiles, type errors and coercion counts, per file and column."""
+    kinds, lost = [], []
+    for p in PLATFORMS:
+        for u, r in PLATFORM_COLUMNS[p].items():
+            c = ident(r)
+            whole = f"(regexp_full_match({c}, '\\s*[+-]?\\d+\\s*') AND TRY_CAST({c} AS BIGINT) IS NOT NULL)"
+            date = f"({parse_date(c)} IS NOT NULL)" if u == "date" else "FALSE"
+            kinds.append(f"""SELECT __file AS file, {q(p)} AS platform, {q(u)} AS unified, {q(r)} AS "column",
+  count(*) AS rows, count(*) FILTER ({is_na(c)}) AS missing, count(*) FILTER ({whole}) AS integers,
+  count(*) FILTER ({parsed_number(c)} IS NOT NULL) AS numbers, count(*) FILTER ({date}) AS dates FROM raw_{p} GROUP BY __file""")
+            if u == "campaign_name":
+                continue
+            gone = f"{parse_date(c)} IS NULL" if u == "date" else f"{parsed_number(c)} IS NULL"
+            pre, post = (MSG_COERCED_DATE if u == "date" else MSG_COERCED_NUMBER).replace("{column}", r).split("{values}")
+            lost.append(f"""SELECT file, channel, "column", values, {q(pre)} || CAST(values AS VARCHAR) || {q(post)} AS message FROM (
+  SELECT __file AS file, {q(p)} AS channel, {q(r)} AS "column", count(*) AS values FROM raw_{p} WHERE {gone} GROUP BY __file)""")
+    profile = "profile AS (" + "\nUNION ALL ".join(kinds) + "),"
+    typed = """typed AS (SELECT *, CASE
+  WHEN unified = 'date' AND dates > 0 AND dates + missing = rows THEN 'datetime'
+  WHEN integers = rows THEN 'integer' WHEN numbers + missing = rows THEN 'float' ELSE 'text' END AS inferred FROM profile)"""
+    base = with_raw(profile + "\n" + typed)
+    names = {"date": "datetime", "campaign_name": "string", "spend": "float", "revenue": "float",
+             "clicks": "integer", "impressions": "integer", "conversions": "integer"}
+    checks = " ".join(
+        f"WHEN unified = {q(u)} AND inferred <> {q('text' if k == 'string' else k)} THEN {q(f"Column '{u}' is not a valid {k} type.")}"
+        for u, k in names.items())
+    errors = base + f"""SELECT file, "column", inferred, error FROM (
+  SELECT *, CASE {checks} END AS error FROM typed) WHERE error IS NOT NULL"""
+    return (base + 'SELECT file, platform, unified, "column", rows, missing, integers, numbers, dates FROM profile',
+            errors, with_raw() + "\nUNION ALL ".join(lost))
+
+
 def ingest_sql() -> dict[str, str]:
     s: dict[str, str] = {}
     for key, unified, fn in (("coerce_numeric", "clicks", coerce),
@@ -197,6 +236,11 @@ FROM norm_all WHERE {rule_errors()} <> ''"""
   CAST(SUM(CASE WHEN {rule_errors()} <> '' THEN 1 ELSE 0 END) AS BIGINT) AS rejected_rows,
   SUM(CASE WHEN {rule_errors()} <> '' THEN 1 ELSE 0 END) = 0 AS is_valid
 FROM norm_all GROUP BY _source"""
+    s["validation_result"] = with_raw() + f"""SELECT _source AS source, _row AS row, {rule_errors()} = '' AS accepted,
+  CASE WHEN {rule_errors()} <> '' THEN {q(pre)} || CAST(_row AS VARCHAR) || {q(mid)} || {rule_errors()} || {q(end)} END AS message,
+  (SELECT COUNT(*) = 0 FROM norm_all WHERE {rule_errors()} <> '') AS is_valid
+FROM norm_all"""
+    s["type_profile"], s["type_errors"], s["coercion_counts"] = profile_sql()
     s["facts_clean"] = with_raw() + f"SELECT {NORM_COLS}, _source, _row FROM norm_all WHERE date IS NOT NULL"
     show = lambda c: f"COALESCE(strftime({c}, '%Y-%m-%d %H:%M:%S'), 'NaT')"
     s["file_summary"] = with_raw() + f"""SELECT _source AS file, {title('channel')} AS platform,
@@ -269,6 +313,12 @@ WHERE len(m) > 0"""
     s["csv_scan"] = with_raw() + f"SELECT {NORM_COLS} FROM norm_all WHERE __prio IN {lst(accepted)}"
     s["incremental_ingest"] = with_raw() + f"SELECT {NORM_COLS} FROM norm_all"
     s["append_facts"] = s["incremental_ingest"]
+    s["append_once"] = s["incremental_ingest"]
+    late = [prio for prio, v in HEADER_VARIANTS.items() if v in ("exact", "extra", "upper")]
+    s["ledger_ingest"] = with_raw() + f"SELECT {NORM_COLS} FROM norm_all WHERE __prio IN {lst(late)}"
+    s["quoted_breaks"] = with_raw() + f"""SELECT date, channel, CASE WHEN campaign_name = {q(MISSING_TEXT)} THEN campaign_name
+  ELSE campaign_name || chr(10) || 'note "' || chr(10) || '", end' END AS campaign_name,
+  spend, clicks, impressions, conversions, revenue FROM norm_all"""
     s["split_by_channel"] = "WITH " + ",\n".join([ORDER_LINES, FACTS]) + """
 SELECT channel, CAST(COUNT(*) AS BIGINT) AS rows,
   CAST(SUM(CAST(round_even(spend * 100, 0) AS BIGINT)) AS DOUBLE) / 100 AS spend
@@ -283,6 +333,13 @@ FROM facts GROUP BY channel"""
     s["replace_channel"] = fb + f"SELECT {NORM_COLS} FROM facts UNION ALL SELECT {NORM_COLS} FROM ev"
     fb1 = "WITH " + ",\n".join([ORDER_LINES, FACTS, ev.format(scale="CAST(1 AS DOUBLE)")]) + "\n"
     s["unified_view"] = fb1 + f"SELECT {NORM_COLS} FROM facts UNION ALL SELECT {NORM_COLS} FROM ev"
+    s["weekly_incremental"] = "WITH " + ",\n".join([ORDER_LINES, FACTS]) + """
+SELECT channel, CAST(date_trunc('week', date) AS TIMESTAMP) AS week_start,
+  CAST(SUM(CAST(round_even(spend * 100, 0) AS BIGINT)) AS DOUBLE) / 100 AS total_spend,
+  CAST(SUM(CAST(round_even(revenue * 100, 0) AS BIGINT)) AS DOUBLE) / 100 AS total_revenue,
+  CAST(SUM(conversions) AS BIGINT) AS total_conversions
+FROM facts GROUP BY channel, week_start"""
+    s["export_parquet"] = "WITH " + ",\n".join([ORDER_LINES, FACTS]) + f"\nSELECT {NORM_COLS} FROM facts"
     s["export_facts"] = "WITH " + ",\n".join([ORDER_LINES, FACTS]) + f"\nSELECT {NORM_COLS} FROM facts"
     from spendlens.plans.oracle import wow_select
     ewk = """ewk AS (

@@ -125,6 +125,13 @@ ROW_REJECT_TEXT = ("Row {row}: Some values did not meet validation criteria "
                    "dataset.")
 MSG_MISSING_COLUMNS = "Missing required columns: {cols}"
 
+# Warnings about values that the normaliser had to replace.
+MSG_COERCED_NUMBER = ("Column '{column}' contained {values} missing/blank/non-numeric "
+                      "values. These have been filled with 0.")
+MSG_COERCED_DATE = ("Column '{column}' contained {values} unparseable or invalid "
+                    "date values. These rows have been set to NaT (missing date) "
+                    "rather than blocking the upload.")
+
 # KPI card labels, in display order.
 KPI_LABELS = ["Total Spend", "Total Revenue", "Blended ROAS", "Blended CPA"]
 

@@ -93,8 +93,10 @@ def _money_text(cents: Column) -> Column:
 
 
 def raw_rows(spark: SparkSession, sf_dir: str, platform: str,
-             keep_priority: bool = False, base: DataFrame | None = None) -> DataFrame:
-    """One raw export (all text) in ``platform``'s layout over all rows.
+             keep_priority: bool = False, base: DataFrame | None = None,
+             by_file: bool = False) -> DataFrame:
+    """One raw export (all text) in ``platform``'s layout over all rows; with ``by_file``
+    many exports, one per quantity and ship month.
 
     Columns: the platform's exact header names plus ``_source`` and ``_row``
     lineage (the row ordinal a file reader would report).
@@ -139,11 +141,14 @@ def raw_rows(spark: SparkSession, sf_dir: str, platform: str,
     values = {"date": date_txt, "campaign_name": campaign, "spend": spend,
               "clicks": clicks, "impressions": impressions,
               "conversions": conversions, "revenue": revenue}
+    source = F.lit(f"raw_{platform}")
+    if by_file:
+        source = F.concat(source, F.lit("_"), qs, F.lit("_"), F.date_format("l_shipdate", "yyyyMM"))
     extra = [F.col("o_orderpriority").alias("__prio"),
              F.col("l_returnflag").alias("__notes")] if keep_priority else []
     return j.select(
         *[values[u].alias(raw) for u, raw in cols.items()],
-        F.lit(f"raw_{platform}").alias("_source"),
+        source.alias("_source"),
         (F.col("l_orderkey") * 10 + ln).cast("bigint").alias("_row"),
         *extra,
     )
@@ -191,11 +196,10 @@ def _slug(s: str) -> str:
 
 
 def header_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Header table derived from the tables: one 'file' per (platform,
-    campaign, ship year) present in the data, its header names following
-    the campaign's variant.  Columns: file, names (array<string>)."""
-    keys = order_lines(spark, sf_dir).select(
-        "o_orderpriority", F.year("l_shipdate").alias("yr")).distinct()
+    """Header table derived from the tables: one 'file' per (platform, account,
+    campaign) present in the orders, its header names following the
+    campaign's variant.  Columns: file, names (array<string>)."""
+    keys = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority").distinct()
     layout = spark.createDataFrame(
         [(p, prio, [n for _, n in variant_columns(p, v)])
          for p in PLATFORMS for prio, v in HEADER_VARIANTS.items()],
@@ -204,7 +208,7 @@ def header_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         F.concat(F.lit("raw_"), F.col("platform"), F.lit("_"),
                  F.regexp_replace("o_orderpriority", " ", "_"), F.lit("_"),
-                 F.col("yr").cast("string"), F.lit(".csv")).alias("file"),
+                 F.col("o_custkey").cast("string"), F.lit(".csv")).alias("file"),
         "names")
 
 
