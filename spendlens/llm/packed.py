@@ -7,6 +7,7 @@ numpy arrays.  What a bucket finds goes back to the chunk by its number.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -42,9 +43,14 @@ def by_bucket(hashes: np.ndarray, buckets: int):
             yield k, order[edges[k] : edges[k + 1]]
 
 
-def chunk_number(ids: list, part: int) -> int:
-    """The same for the same rows of the same partition, so that a task run again agrees."""
-    return zlib.crc32(repr((ids[:50], len(ids))).encode()) << 31 | (part * 2654435761 + len(ids)) % (1 << 31)
+def chunk_numbers():
+    """Numbers of a task's chunks, one after another: the partition, and a running count within it.
+
+    No two chunks share one.  A task run again gives the same numbers to the same chunks, as long as
+    its rows come in the same order: a scan's do, other rows are sorted before they get here."""
+    from pyspark import TaskContext
+
+    return itertools.count(TaskContext.get().partitionId() << 32)
 
 
 def batch(rows: list[tuple]):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import grouped_bytes, table, texts
-from .packed import CHUNK, DONE, INDEX, PROBE, ROW, TEXTS, batch, by_bucket, chunk_number, dealt, rows_of, squeeze, unsqueeze
+from .packed import CHUNK, DONE, INDEX, PROBE, ROW, TEXTS, batch, by_bucket, chunk_numbers, dealt, rows_of, squeeze, unsqueeze
 from .words import SPACE, spans, windows, word_hashes
 
 WORDS, BLOCK = 50, 25
@@ -28,12 +28,6 @@ WORDS, BLOCK = 50, 25
 CELL = 32
 
 
-def part_number() -> int:
-    from pyspark import TaskContext
-
-    return TaskContext.get().partitionId()
-
-
 def places(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, text) of every run of k values that lies within one text; ``first`` as in word_hashes."""
     size = np.maximum(np.diff(first) - k + 1, 0)
@@ -43,15 +37,14 @@ def places(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def anchors(batches, buckets: int):
     """Packed blocks and probes of (doc_id, text, key) rows, and each chunk's table of texts."""
-    import pyarrow as pa
-
+    numbers = chunk_numbers()
     for ids, found, keys in with_keys(batches, CHUNK):
         hashes, _, _, first, _ = word_hashes(found)
         at, text = places(first, BLOCK)
         if not len(at):
             continue
         h = windows(hashes, BLOCK)[at]
-        chunk = chunk_number(ids, part_number())
+        chunk = next(numbers)
         low = h.astype(np.uint32)
         block = (at - first[text]) % BLOCK == 0
         # a window that two texts of the chunk share is a hit already
@@ -143,6 +136,7 @@ def extended(batches, buckets: int):
 
     Of equal runs in a chunk only that of the smallest id goes on; the others are repeats already.
     """
+    numbers = chunk_numbers()
     for ids, found, keys, lo, hi in with_runs(batches):
         hashes, _, _, first, _ = word_hashes(found)
         at, text = places(first, WORDS)
@@ -166,7 +160,7 @@ def extended(batches, buckets: int):
         send[order] = leads
         # a repeated row of the smallest document follows the first of them: both must be told
         send |= ~settled
-        chunk = chunk_number(ids, part_number())
+        chunk = next(numbers)
         out = [(int(chunk % buckets), TEXTS, chunk, np.array(ids, dtype=np.int64).tobytes(), np.array(keys, dtype=np.int64).tobytes(), squeeze(first)),
                (int(chunk % buckets), DONE, chunk, squeeze(at[settled]), None, None)]
         send = np.flatnonzero(send)
@@ -227,7 +221,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = docs.filter(F.col("doc_id").isNotNull())
-    cells = runs_by_text(dealt(known.mapInArrow(lambda b: anchors(b, buckets), ROW), buckets).mapInArrow(hits, ROW), CELL)
+    cells = runs_by_text(dealt(known.sortWithinPartitions("doc_id", "key").mapInArrow(lambda b: anchors(b, buckets), ROW), buckets).mapInArrow(hits, ROW), CELL)
     near = known.join(cells.hint("shuffle_hash"), ["doc_id", "key"]).select("doc_id", "text", "key", "lo", "hi").sortWithinPartitions("doc_id", "key")
     return runs_by_text(dealt(near.mapInArrow(lambda b: extended(b, buckets), ROW), buckets).mapInArrow(repeats, ROW), 1)
 

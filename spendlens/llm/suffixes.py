@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .packed import DONE, PROBE, ROW, TEXTS, batch, by_bucket, chunk_number, dealt, rows_of, squeeze, unsqueeze
-from .substrings import keyed, part_number, runs_by_text, with_keys, with_runs
+from .packed import DONE, PROBE, ROW, TEXTS, batch, by_bucket, chunk_numbers, dealt, rows_of, squeeze, unsqueeze
+from .substrings import keyed, runs_by_text, with_keys, with_runs
 from .words import BYTE_VALUES, mix, prefix, runs, windows
 
 LENGTH, ANCHOR = 400, 200
@@ -85,10 +85,11 @@ def sampled(found: list[bytes]):
 
 def suffixes(batches, buckets: int):
     """Packed anchors of (doc_id, text, key) rows; what recurs within a chunk is settled there and sent once."""
+    numbers = chunk_numbers()
     for ids, found, keys in with_keys(batches, CHUNK):
         for ids_, keys_, bases, parts in pieces(ids, found, keys):
             key, whole, at, count, offsets = sampled(parts)
-            chunk = chunk_number([*ids_, *bases], part_number())
+            chunk = next(numbers)
             order = np.argsort(whole, kind="stable")
             leads = np.ones(len(order), dtype=bool)
             leads[1:] = whole[order][1:] != whole[order][:-1]
@@ -217,6 +218,7 @@ def by_document(pdf):
 
 def contested_windows(batches, buckets: int):
     """The 400-byte windows of the contested runs of (doc_id, text, key, lo, hi) rows, packed by hash."""
+    numbers = chunk_numbers()
     for ids, found, keys, lo, hi in with_runs(batches):
         values = BYTE_VALUES[np.frombuffer(b"\n".join(found), dtype=np.uint8)]
         offsets = np.cumsum([0, *(len(t) + 1 for t in found)])
@@ -235,7 +237,7 @@ def contested_windows(batches, buckets: int):
         many = np.zeros(len(h), dtype=bool)
         many[order] = np.repeat(times, times) > 1
         send = np.sort(order[leads])
-        chunk = chunk_number(ids, part_number())
+        chunk = next(numbers)
         out = [(int(chunk % buckets), TEXTS, chunk, np.array(ids, np.int64).tobytes(), np.array(keys, np.int64).tobytes(), squeeze(offsets)),
                (int(chunk % buckets), DONE, chunk, squeeze(at[many]), None, None)]
         for k, own in by_bucket(h[send], buckets):
@@ -269,7 +271,7 @@ def recurring(batches):
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, key, lo, hi): starts [lo, hi) of the 400-byte windows that start anywhere else too."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = dealt(docs.mapInArrow(lambda b: suffixes(b, buckets), ROW), buckets).mapInArrow(index, ROW)
+    rows = dealt(docs.sortWithinPartitions("doc_id", "key").mapInArrow(lambda b: suffixes(b, buckets), ROW), buckets).mapInArrow(index, ROW)
     told = written(rows.groupBy("chunk").applyInPandas(by_document, "doc_id long, key long, kind int, lo array<int>, hi array<int>"), "suffixes")
     joined = lambda df: df.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))  # noqa: E731  a text's own runs
     near = docs.join(joined(told.filter(F.col("kind") == CONTESTED)).hint("shuffle_hash"), ["doc_id", "key"])

@@ -186,3 +186,70 @@ def test_sql_is_given_for_what_it_can_state():
     from spendlens.llm import queries
     assert set(queries.oracle_sql()) == {"op11_resampling", "op12_vector_codes"}
     assert "bucket" in sql.resampling() and "book6" in sql.vector_codes()
+
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_words(rows):
+    least, tokens = {}, [(i, WORDS.findall(t or "")) for i, t in rows]
+    for i, w in tokens:
+        for k in range(len(w) - 49):
+            if i is not None:
+                least[tuple(w[k:k + 50])] = min(i, least.get(tuple(w[k:k + 50]), i))
+    out = Counter()
+    for i, w in tokens:
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if i is not None and least[tuple(w[k:k + 50])] < i:
+                gone[k:k + 50] = [True] * 50
+        out[i, len(w), sum(gone)] += 1
+    return out
+
+
+def plain_bytes(rows):
+    every = [(i, (t or "").encode()) for i, t in rows]
+    seen = Counter(b[k:k + 400] for _, b in every for k in range(len(b) - 399))
+    out = Counter()
+    for i, b in every:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 399):
+            if seen[b[k:k + 400]] > 1:
+                gone[k:k + 400] = b"\1" * 400
+        out[i, len(b), sum(gone)] += 1
+    return out
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "own"])
+def test_chunks_of_one_partition_are_told_apart(spark, monkeypatch, ids):
+    """Texts of equal lengths without ids, or of one id, in many chunks of one partition."""
+    from spendlens.llm import packed, substrings, suffixes
+    g = random.Random(5)
+    words = ["".join(g.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    passage = [" ".join(g.choice(words) for _ in range(70)) for _ in range(6)]
+    lead = [(-1 - k, p + " " + " ".join(g.choice(words) for _ in range(10))) for k, p in enumerate(passage)]
+    rest = []
+    for k in range(120):
+        text = " ".join(g.choice(words) for _ in range(60))
+        rest.append(({"null": None, "one": 5, "own": k}[ids], text + " " + passage[k % 6] if k % 3 == 0 else text + " " + " ".join(g.choice(words) for _ in range(70))))
+    made = lead + rest
+    for module in (packed, substrings, suffixes):
+        monkeypatch.setattr(module, "CHUNK", 3000)
+    frame = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.drop_repeats(frame).collect())
+    assert got == plain_words(made) and (ids == "null" or sum(k[2] * n for k, n in got.items()) > 1000)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffixes.drop_repeats(frame).collect())
+    assert got == plain_bytes(made)
+    assert sum(k[2] * n for k, n in got.items()) > 10000
+
+
+def test_texts_larger_than_a_chunk_under_one_id(spark):
+    """Two texts of over 4 MB that share an id: each loses what an earlier document holds."""
+    from spendlens.llm import substrings
+    g = random.Random(6)
+    words = ["".join(g.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
+    passage = " ".join(g.choice(words) for _ in range(60))
+    long = lambda s: " ".join(f"{s}{k}" for k in range(480000))
+    rows = [(1, passage), (2, long("x") + " " + passage), (2, passage + " " + long("y"))]
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    assert got == Counter({(1, 60, 0): 1, (2, 480060, 60): 2})
