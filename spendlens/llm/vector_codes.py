@@ -25,6 +25,8 @@ from .common import table, written
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 #: Owners of one entry at least; with more shuffle partitions, an eighth as many as those.
 SALTS = 32
+#: Rows that a task works on at a time.
+BLOCK = 1 << 14
 #: Integer components stay within this, so that squared distances fit 64 bits.
 LARGEST = 1 << 26
 #: Labels whose sums are broadcast; beyond, they are joined by salted shuffles.
@@ -58,6 +60,21 @@ def matrix(column, width: int) -> np.ndarray:
     return whole(np.asarray(column.flatten().to_numpy(zero_copy_only=False))).reshape(len(column), width)
 
 
+def gathered(batches):
+    """Arrow batches put together to some BLOCK rows, so that numpy has long arrays to work on."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= BLOCK:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 MEMBER = "position int, entry int, salt int, since int, part binary"
 
 
@@ -72,7 +89,7 @@ def first_members(kept: DataFrame, book: np.ndarray, width: int, salts: int) ->
     """Every part of the vectors, with the entry of the first codebook that it is nearest to."""
     def run(batches):
         seen = TaskContext.get().partitionId() * 7919
-        for b in batches:
+        for b in gathered(batches):
             x = matrix(b.column(0), width).reshape(b.num_rows, len(book), width // len(book))
             salt = (seen + np.arange(b.num_rows)) % salts
             seen += b.num_rows
@@ -101,7 +118,7 @@ def resident(position, entry, since, part, books: list[np.ndarray]) -> np.ndarra
 def leaving(held: DataFrame, books: list[np.ndarray]) -> DataFrame:
     """The members that the last of ``books`` draws to another entry, with that entry, as of this round."""
     def run(batches):
-        for b in batches:
+        for b in gathered(batches):
             position, entry, salt, since, part = unpacked(b, books[0].shape[2])
             here = resident(position, entry, since, part, books[:-1])
             to = entry.copy()
@@ -126,7 +143,7 @@ def updated(held: DataFrame, books: list[np.ndarray]) -> np.ndarray:
 
     def run(batches):
         n, sums = np.zeros(parts * entries, dtype=np.int64), np.zeros((parts * entries, width), dtype=np.int64)
-        for b in batches:
+        for b in gathered(batches):
             position, entry, _, since, part = unpacked(b, books[0].shape[2])
             own = np.flatnonzero(resident(position, entry, since, part, books))
             at = position[own] * entries + entry[own]
@@ -164,7 +181,7 @@ def coded(kept: DataFrame, book: np.ndarray, width: int) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for b in batches:
+        for b in gathered(batches):
             x = matrix(b.column(2), width).reshape(b.num_rows, len(book), width // len(book))
             found = [nearest(x[:, p], book[p]) for p in range(len(book))]
             code = ["".join(f"{e:02x}" for e in row) for row in np.stack([f[0] for f in found], axis=1).tolist()]
