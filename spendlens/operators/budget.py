@@ -20,6 +20,7 @@ from spendlens.operators.scoring import efficiency_score
 from spendlens.schema import (MIN_ALLOCATION, STRONG_MEAN_SCORE, TEXT_GAINER,
                               TEXT_LOSER, TEXT_NO_DATA, TEXT_STRONG, TEXT_WEAK,
                               WEAK_MEAN_SCORE)
+from spendlens.session import materialize
 
 Dims = Sequence[str]
 
@@ -150,7 +151,8 @@ def run_optimization(summary: DataFrame, dims: Dims = ("channel",),
     ``total_budget`` is accepted for interface parity and, as in the
     behaviour reproduced, not used: dollars follow current total spend.
     """
-    scored = efficiency_score(summary, dims, sort=False)
+    # read by three scalar subqueries and the result: written once, a row per group
+    scored = materialize(efficiency_score(summary, dims, sort=False))
     if "total_spend" in scored.columns and "spend" not in scored.columns:
         scored = scored.withColumnRenamed("total_spend", "spend")
     with_share = suggest_allocation(scored, dims, floor, keep_columns=True)
