@@ -4,10 +4,15 @@ A text is the weighted set of its five-word shingles.  Each unit of an element's
 region at which hashed darts fall as a Poisson process over rank; the darts up to a rank
 that yields about k (ln k + 2) of them are thrown, and of those that fall on one of the k
 coordinates the earliest stays, so that two texts agree on a coordinate with the probability of their
-weighted Jaccard similarity.  Texts that agree on all rows of a band are linked, by a chain
-through each bucket rather than by all pairs; links are verified by the exact similarity,
-and connected texts form a class.  Buckets that hold several classes are cut by a second
-and third band that texts share, and chained again.
+weighted Jaccard similarity.  Texts that agree on all rows of a band share a bucket.
+
+Links are found in two steps, both verified by the exact similarity.  Chains through each
+bucket, in several orders, join most texts of a group at a cost that is linear in the
+bucket; connected texts form a class.  Then every pair of a bucket whose classes still differ is
+compared, so no link of a bucket is lost: buckets are cut into blocks of bounded size, a unit
+of work is a pair of blocks, and only the links found leave it, one for each two classes.
+The largest class of a bucket is never compared with itself, so that the pairs compared are at
+most twice those of different classes.
 """
 
 from __future__ import annotations
@@ -29,10 +34,12 @@ COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (math.log(COORDINATES) + 2)
 #: Parts that a bucket's chain is made in.
 SALTS = 32
-#: Bands that a group shares at the deepest: groups that still hold several classes are cut by one band more.
-DEPTH = 3
-#: Neighbours that a text of such a group is compared with in its part, and a part in its group.
-REACH = 4
+#: Orders that a bucket is chained in.
+ORDERS = 3
+#: Texts of a block, and words of a block: a unit holds two blocks at most (one longer text may be a block).
+BLOCK, BLOCK_WORDS = 512, 400_000
+#: Elements whose occurrences in a unit are counted at a time.
+COLUMNS = 2048
 
 
 def elements(found: list[bytes]):
@@ -102,38 +109,119 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, words long, n_words long, bands array<long>")
 
 
-def chained(members: DataFrame, order: int, reach: int = 1) -> DataFrame:
-    """(a, b) links through each bucket of (bucket, id, class): up to ``reach`` neighbours in a hashed order,
-    within salted parts and then from part to part, where their classes differ."""
-    own = ["bucket", "id"] if order else ["id"]  # deeper groups each have an order of their own
-    spot = members.withColumn("salt", F.pmod(F.xxhash64(*own, F.lit(order)), F.lit(SALTS))).withColumn("place", F.xxhash64(*own, F.lit(order + 1000)) if order else F.col("id"))
-    heads = spot.groupBy("bucket", "salt").agg(F.min(F.struct("place", "id", "class")).alias("h")).select("bucket", "h.*")
+def chained(members: DataFrame, order: int) -> DataFrame:
+    """(a, b) links through each bucket of (bucket, id): neighbours in a hashed order,
+    within salted parts and then from part to part."""
+    spot = members.select("bucket", "id", F.pmod(F.xxhash64("id", F.lit(order)), F.lit(SALTS)).alias("salt"), F.xxhash64("id", F.lit(order + 1000)).alias("place"))
+    heads = spot.groupBy("bucket", "salt").agg(F.min(F.struct("place", "id")).alias("h")).select("bucket", "h.*")
 
     def neighbours(rows, w):
-        before = F.array(*[F.struct(F.lag("id", k).over(w).alias("id"), F.lag("class", k).over(w).alias("class")) for k in range(1, reach + 1)])
-        found = rows.withColumn("before", before).select("id", "class", F.explode("before").alias("x")).filter("x.id is not null and x.class <> class")
-        return found.select(F.least("x.id", "id").alias("a"), F.greatest("x.id", "id").alias("b"))
+        found = rows.select("id", F.lag("id").over(w).alias("before")).filter("before is not null")
+        return found.select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b"))
 
     inner = neighbours(spot, Window.partitionBy("bucket", "salt").orderBy("place", "id"))
     across = neighbours(heads, Window.partitionBy("bucket").orderBy("place", "id"))  # at most SALTS rows a bucket
-    return inner.union(across).distinct()
+    return inner.union(across)
 
 
-def still_open(groups: DataFrame, of: DataFrame) -> DataFrame:
-    """The rows of (id, last, group) whose group holds several classes, with their ``class``."""
-    now = groups.join(of, "id", "left").select("id", "last", "group", F.coalesce("component", "id").alias("class"))
-    several = now.groupBy("group").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("group")
-    return now.join(several, "group").select("id", "last", "group", "class")
+UNIT = ["bucket", "kind", "i", "j"]
+#: Kinds of units: a whole bucket or two blocks of its lesser classes; a block of the main class and one of those.
+AMONG, ACROSS = 0, 1
 
 
-def deeper(groups: DataFrame, of: DataFrame) -> DataFrame:
-    """(id, last, group, class): each open group cut by one open band more, where that still holds several classes.
+def units(members: DataFrame, of: DataFrame) -> DataFrame:
+    """(bucket, kind, i, j, id, class, side): the units of work in which the texts of the buckets that still
+    hold several classes are compared.  ``side`` is 1 for the main class's block in an ACROSS unit.
 
-    A text's bands are taken in the order of their values, so that each set of bands is one group."""
-    now = still_open(groups.select("id", "last", "group"), of)
-    bands = now.groupBy("id").agg(F.array_sort(F.collect_set("last")).alias("bands"))  # BANDS at most
-    cut = now.join(bands, "id").select("id", "group", F.explode(F.filter("bands", lambda b: b > F.col("last"))).alias("last"))
-    return still_open(cut.select("id", "last", F.xxhash64("group", "last").alias("group")), of)
+    A bucket of up to a block is one unit, and of several with the same texts one is enough.  Larger ones
+    are cut by hash: blocks of the main class i, of the others j.
+    """
+    now = members.join(of, "id", "left").select("bucket", "id", "n_words", F.coalesce("component", "id").alias("class"))
+    per_class = now.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w"))
+    per_bucket = per_class.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "class")).alias("main"))
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_WORDS)).cast("int")
+    several = per_bucket.filter("classes > 1").select(
+        "bucket", F.col("main.class").alias("main"), ((F.col("n") <= BLOCK) & (F.col("w") <= BLOCK_WORDS)).alias("small"),
+        blocks(F.col("main.n"), F.col("main.w")).alias("mains"), blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("others"))
+    rows = written(now.join(several, "bucket"), "open")
+    sets = rows.filter("small").groupBy("bucket").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # BLOCK ids at most
+    one = sets.groupBy(F.sha2(F.array_join("ids", ","), 256)).agg(F.min("bucket").alias("bucket")).select("bucket")
+    zero = F.lit(0)
+    small = rows.join(one, "bucket", "left_semi").select("bucket", F.lit(AMONG).alias("kind"), zero.alias("i"), zero.alias("j"), "id", "class", zero.alias("side"))
+    large = rows.filter("not small").withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.when(F.col("class") == F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    each = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    main = large.filter("class = main").withColumn("j", each("others")).select("bucket", F.lit(ACROSS).alias("kind"), F.col("own").alias("i"), "j", "id", "class", F.lit(1).alias("side"))
+    rest = large.filter("class <> main")
+    facing = rest.withColumn("i", each("mains")).select("bucket", F.lit(ACROSS).alias("kind"), "i", F.col("own").alias("j"), "id", "class", zero.alias("side"))
+    among = rest.withColumn("x", each("others")).select("bucket", F.lit(AMONG).alias("kind"), F.least("x", "own").alias("i"), F.greatest("x", "own").alias("j"), "id", "class", zero.alias("side"))
+    return small.union(main).union(facing).union(among)
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left x right) numbers of elements that two texts share; each text's elements are sorted and distinct."""
+    both = [*left, *right]
+    text = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    values = np.concatenate(both) if both else np.zeros(0, np.uint32)
+    order = np.argsort(values, kind="stable")
+    values, text = values[order], text[order]
+    same = np.zeros(len(values) + 1, dtype=bool)
+    same[1:-1] = values[1:] == values[:-1]
+    keep = same[1:] | same[:-1]  # elements of one text only count for no pair
+    column = np.cumsum(~same[:-1])[keep] - 1
+    _, column = np.unique(column, return_inverse=True)
+    text, out = text[keep], np.zeros((len(left), len(right)), dtype=np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (c, c + COLUMNS))
+        held = np.zeros((len(both), COLUMNS), dtype=np.float32)
+        held[text[a:b], column[a:b] - c] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out
+
+
+def across_classes(found: list[tuple], kind: int):
+    """One unit's links, at most one for each two classes: ``found`` holds (id, class, side, elements)."""
+    ids, classes = np.array([f[0] for f in found]), np.array([f[1] for f in found])
+    n = np.array([len(f[3]) // 4 for f in found])
+    sets = [np.unique(np.frombuffer(f[3], np.uint32)) for f in found]
+    if kind == ACROSS:
+        left = np.flatnonzero([f[2] == 1 for f in found])
+        right = np.flatnonzero([f[2] == 0 for f in found])
+    else:
+        left = right = np.arange(len(found))
+    if not len(left) or not len(right):
+        return
+    common = common_counts([sets[k] for k in left], [sets[k] for k in right])
+    near = common >= SIMILARITY * (n[left][:, None] + n[right][None, :] - common)
+    near &= classes[left][:, None] != classes[right][None, :]
+    x, y = np.nonzero(near)
+    pairs = np.sort(np.stack([classes[left[x]], classes[right[y]]], axis=1), axis=1)
+    _, first = np.unique(pairs, axis=0, return_index=True)
+    for k in first:
+        a, b = int(ids[left[x[k]]]), int(ids[right[y[k]]])
+        yield min(a, b), max(a, b)
+
+
+def compared(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b): the links between different classes in all units of ``rows``."""
+    import pyarrow as pa
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:4] != key:
+                    if held:
+                        out.extend(across_classes(held, key[1]))
+                    key, held = row[:4], []
+                held.append(row[4:])
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        out = list(across_classes(held, key[1])) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = rows.join(own, "id").select(*UNIT, "id", "class", "side", "elements")
+    return full.repartition(parts, *UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, "a long, b long").distinct()
 
 
 def shingled(docs: DataFrame) -> DataFrame:
@@ -180,23 +268,21 @@ def classes(docs: DataFrame) -> DataFrame:
     some = signed.filter("n_words > 0 and doc_id is not null")
     # one text for all its copies
     spoken = written(some.groupBy("words").agg(F.min(F.struct("doc_id", "key")).alias("own"), F.first("bands").alias("bands"), F.first("n_words").alias("n_words")).select("words", "n_words", "bands", F.col("own.doc_id").alias("id"), F.col("own.key").alias("key")), "spoken")
-    spread = spoken.select("id", F.explode("bands").alias("bucket"))
+    spread = spoken.select("id", "n_words", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = written(spread.join(shared, "bucket").select("bucket", "id", F.col("id").alias("class")), "buckets")
-    pairs = written(chained(members, 0), "pairs")
+    members = written(spread.join(shared, "bucket").select("bucket", "id", "n_words"), "buckets")
+    pairs = chained(members, 0)
+    for order in range(1, ORDERS):
+        pairs = pairs.union(chained(members, order))
+    pairs = written(pairs.distinct(), "pairs")
     # the texts that any bucket holds with others
     needed = members.select("id").distinct().join(spoken.select("id", "key"), "id").groupBy("id").agg(F.min("key").alias("key")).withColumnRenamed("id", "doc_id")
     rows = d.join(needed.hint("shuffle_hash"), ["doc_id", "key"]).select(F.col("doc_id").alias("id"), "text")
     own = written(shingled(rows).groupBy("id").agg(F.min("elements").alias("elements")), "shingles")
     of = components(written(verified(pairs, own), "links"))
-    groups = members.select("id", F.col("bucket").alias("last"), F.col("bucket").alias("group"))
-    for depth in range(1, DEPTH):
-        groups = written(deeper(groups, of), "groups")
-        again = written(chained(groups.select(F.col("group").alias("bucket"), "id", "class"), depth, REACH).join(pairs, ["a", "b"], "left_anti"), "again")
-        fresh = written(verified(again, own), "links")
-        pairs = pairs.union(again)
-        if fresh.limit(1).count():
-            of = merged(of, fresh)
+    fresh = written(compared(units(members, of), own), "links")
+    if fresh.limit(1).count():
+        of = merged(of, fresh)
     named = spoken.join(of, "id", "left").select("words", "n_words", F.coalesce("component", "id").alias("class_id"))
     joined = signed.select("doc_id", "words", "n_words").join(named, ["words", "n_words"], "left")
     return joined.select("doc_id", F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
