@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 from array import array
 
@@ -25,6 +26,8 @@ from .words import BASE, INVERSE, Vocabulary, mix, powers
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
 MARK = "▁"
+#: Added to a piece's merge rank, from 1, before it is read as a frequency rank.
+RANK_SHIFT = 10
 #: Score of a character that is no piece and is spelt out in bytes.
 BYTES_SCORE = -1e7
 #: Parts kept in a worker's memory, and the longest part that is kept.
@@ -33,6 +36,19 @@ PUNCTUATION = ".,;:!?|#$%&*@\"()'-"
 PARTS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
 
+def log_probabilities(ranks: dict[str, float]) -> dict[str, float]:
+    """Scores that add up along a segmentation, from the order in which a byte-pair model made its pieces.
+
+    Such a model's own scores are minus that order, which is no scale to add on: two early pieces
+    would always beat one late one.  Pairs are merged from the most frequent on, so the order is read as a
+    frequency rank, with probabilities that fall as its inverse (Zipf).  Scores are kept to 20 binary
+    places, so that their sums are exact in any order and equal segmentations tie."""
+    first = min(ranks.values(), default=0.0)
+    share = {p: 1.0 / (r - first + 1.0 + RANK_SHIFT) for p, r in ranks.items()}
+    total = sum(share.values())
+    return {p: round(math.log(x / total) * 2**20) / 2**20 for p, x in share.items()}
+
+
 class Pieces:
     """The pieces of a model: plain values that travel to the executors."""
 
@@ -54,6 +70,7 @@ class Pieces:
                 own = p.replace(MARK, " ")
                 self.ids[own], self.scores[own] = i, float(m.get_score(i))
                 self.surface.append(own.encode())
+        self.scores = log_probabilities({p: -s for p, s in self.scores.items()})
         self.longest = max(map(len, self.ids), default=1)
         whole = all("\n" not in p and " " not in p.lstrip(" ") for p in self.ids)
         self.split = PARTS if whole else re.compile(r"(?s).+")
@@ -182,11 +199,12 @@ class Pieces:
         return self.walk(part, back, lead, best[n])
 
     def nbest(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """Backward A*: up to n segmentations, best first; of equal scores the one reached first."""
+        """Backward A*: up to n segmentations, best first; of equal scores the one nearer to the start of
+        the part, so that ties are followed through and not spread over, then the one reached first."""
         best, _ = self.forward(part)
-        heap, out, count = [(-best[-1], 0, len(part), 0.0, None)], [], 0
+        heap, out, count = [(-best[-1], len(part), 0, 0.0, None)], [], 0
         while heap and len(out) < n:
-            f, _, at, done, path = heapq.heappop(heap)
+            f, at, _, done, path = heapq.heappop(heap)
             if at == 0:
                 ids = []
                 while path:
@@ -196,7 +214,7 @@ class Pieces:
                 continue
             for start, ids, score in self.edges_to(part, at):
                 count += 1
-                heapq.heappush(heap, (-(best[start] + score + done), count, start, done + score, (ids, path)))
+                heapq.heappush(heap, (-(best[start] + score + done), start, count, done + score, (ids, path)))
         return out
 
     def parts(self, text: str) -> list[str]:
