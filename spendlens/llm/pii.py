@@ -31,14 +31,18 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: An at sign, or a word for it.
 AT = re.compile(r"@|[(\[{] ?at ?[)\]}]|\bat\b(?=[^@]{1,60}?\bdot\b)", re.IGNORECASE)
 #: An address with its at sign and at least one dot written with spaces, brackets or words.
-LOOSE = re.compile(r"[A-Za-z0-9._%+-]+(?:\s*[(\[{]\s*(?:at|@)\s*[)\]}]\s*|\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s*[(\[{]\s*(?:dot|\.)\s*[)\]}]\s*|\s+dot\s+|\s*\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
+#: A name of at most 64 characters (as mail allows) and gaps of at most 5: time linear in an unbroken run.
+LOOSE = re.compile(r"[A-Za-z0-9._%+-]{1,64}+(?:\s{0,5}[(\[{]\s{0,5}(?:at|@)\s{0,5}[)\]}]\s{0,5}|\s{1,5}at\s{1,5}|\s{0,5}@\s{0,5})[A-Za-z0-9-]++(?:(?:\s{0,5}[(\[{]\s{0,5}(?:dot|\.)\s{0,5}[)\]}]\s{0,5}|\s{1,5}dot\s{1,5}|\s{0,5}\.)[A-Za-z0-9-]++)+", re.IGNORECASE)
 #: Digits of a number and what may stand between them, and the other characters of a number.
 GROUPS = re.compile(r"[0-9]+")
 RUN = re.compile(r"[0-9]+(?:(?:[\s.,:/()\[\]_-]{1,5}|\s?dot\s?)[0-9]+)*", re.IGNORECASE)
 BETWEEN = re.compile(r"[0-9\s.,:/()\[\]+_-]|dot", re.IGNORECASE)
 
-#: Bound of the training sample, in windows around marked spans and windows without any.
-SAMPLE_DOCS = 1500
+#: Bounds of the training sample: the documents that it is chosen from and that teach, about and at most, and the
+#: characters of the excerpt that a longer text is represented by (at a place given by its hash).
+SAMPLE_DRAWN, SAMPLE_DOCS, SAMPLE_EXCERPT = 3000, 1500, 8000
+#: Digits beyond a tagged span's edge that are looked at; a longer number is of no kind.
+NUMBER = 64
 HIDDEN, EMBED = 24, 12
 LENGTH, STRIDE = 96, 48
 STEPS, BATCH, RATE = 320, 48, 0.02
@@ -328,15 +332,14 @@ def reads_as(kind: int, span: str) -> tuple[int, int] | None:
 def completed(text: str, kind: int, a: int, b: int) -> tuple[int, int]:
     """The span with what the network missed at its edges: the address that it is part of, or cut off digits."""
     if kind == 0:
-        low = max(0, a - LENGTH)
-        while low > 0 and LEFT.match(text[low - 1]):
-            low -= 1
-        return next((m.span() for m in LOOSE.finditer(text, low, b + LENGTH) if m.start() < b and a < m.end()), (a, b))
-    while a > 0 and text[a - 1] in "0123456789" and text[a] in "0123456789":
+        return next((m.span() for m in LOOSE.finditer(text, max(0, a - LENGTH), b + LENGTH) if m.start() < b and a < m.end()), (a, b))
+    low, high = max(0, a - NUMBER), min(len(text), b + NUMBER)
+    while a > low and text[a - 1] in "0123456789" and text[a] in "0123456789":
         a -= 1
-    while b < len(text) and text[b] in "0123456789" and text[b - 1] in "0123456789":
+    while b < high and text[b] in "0123456789" and text[b - 1] in "0123456789":
         b += 1
-    return a, b
+    cut = lambda k: 0 < k < len(text) and text[k - 1] in "0123456789" and text[k] in "0123456789"
+    return (a, a) if cut(a) or cut(b) else (a, b)
 
 
 def added_spans(found: list[str], base: list[list], net: Tagger | None, margins: list | None = None) -> list[list[tuple[int, int, int]]]:
@@ -405,11 +408,23 @@ def find(found: list[str], net: Tagger | None) -> list[tuple[list, list]]:
     return [(b, sorted({*b, *more})) for b, more in zip(base, added_spans(found, base, net))]
 
 
+def sample(docs: DataFrame) -> list[str]:
+    """Excerpts of about SAMPLE_DRAWN distinct texts at most, those with the smallest hashes, of which the first
+    SAMPLE_DOCS with a digit or at sign, then others: a share of the hashes by the row count, and each text once, so that
+    neither the table's size nor a text's copies or length add to what reaches the driver."""
+    rows = texts(docs)
+    n = rows.count()
+    unit = F.pmod(F.xxhash64("text", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.select("text").filter(F.col("text").isNotNull() & (unit < SAMPLE_DRAWN / max(n, 1))).dropDuplicates(["text"])
+    start = F.pmod(F.xxhash64("text", F.lit(32)), F.greatest(F.length("text") - SAMPLE_EXCERPT + 1, F.lit(1))).cast("int") + 1
+    part = some.filter(F.col("text").rlike("[^ ]")).select(F.xxhash64("text", F.lit(31)).alias("at"), F.substring("text", start, SAMPLE_EXCERPT).alias("text"))
+    found = part.withColumn("plain", ~F.col("text").rlike("[0-9@]")).orderBy("plain", "at", "text").limit(SAMPLE_DOCS).collect()
+    return [r["text"] for r in found]
+
+
 def learn(docs: DataFrame) -> Tagger | None:
-    """Train on a bounded sample: the documents with the smallest hashes, those with a digit or at sign first."""
-    rows = texts(docs).filter(F.col("text").rlike("[^ ]") & (F.length("text") < 20000)).orderBy(
-        (~F.col("text").rlike("[0-9@]")), F.xxhash64("doc_id", F.lit(31)), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS).collect()
-    return train([r.text for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.text))])
+    """Train on a bounded sample."""
+    return train(sample(docs))
 
 
 def joined(spans: list) -> str:

@@ -253,3 +253,61 @@ def test_texts_larger_than_a_chunk_under_one_id(spark):
     rows = [(1, passage), (2, long("x") + " " + passage), (2, passage + " " + long("y"))]
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
     assert got == Counter({(1, 60, 0): 1, (2, 480060, 60): 2})
+
+
+def test_scores_give_whole_words():
+    from spendlens.llm import pieces
+    m = pieces.Pieces(pieces.MODEL)
+    shown = lambda t: [m.surface[i].decode() for i in m.encode(t)[0][1]]
+    assert shown("The quality of the report was good.") == [" The", " quality", " of", " the", " report", " was", " good", "."]
+    tied = "a" * 20000  # ties are followed through
+    import time
+    began = time.time()
+    found = m.encode(tied, 4)
+    assert time.time() - began < 20 and len(found) == 4 and all(m.decode(ids) == tied for _, ids in found)
+    assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+
+
+def test_pieces_near_the_librarys_own(spark):
+    """The best segmentations have about as many pieces as the tokenizer's own, and most boundaries in common."""
+    from spendlens.llm import pieces
+    from tests.conftest import SF001
+    import sentencepiece
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Pieces(pieces.MODEL)
+    found = [r["text"] for r in common.table(spark, SF001, "documents").select("text").collect() if r["text"]]
+
+    def edges(ids):
+        return set(np.cumsum([len(m.surface[i]) for i in ids]).tolist())
+
+    mine, theirs = [m.encode(t, 1)[0][1] for t in found], [sp.encode(t) for t in found]
+    assert abs(sum(map(len, mine)) / sum(map(len, theirs)) - 1) < 0.02
+    both = sum(len(edges(a) & edges(b)) for a, b in zip(mine, theirs))
+    assert both > 0.9 * sum(len(edges(b)) for b in theirs) and both > 0.9 * sum(len(edges(a)) for a in mine)
+
+
+def test_pii_time_is_linear_in_unbroken_runs():
+    import time
+    from spendlens.llm import pii
+    g, began = random.Random(3), time.time()
+    net = pii.Tagger()
+    net.margin = -1e9
+    for run in ("a" * 100000, "Zm9vYmFy" * 12500, "7" * 100000, "1 " * 50000, " " * 100000, "a." * 50000, "@a" * 50000, "at dot " * 15000):
+        for tail in ("", " at host dot org", " x (at) y . com 4111 1111 1111 1111", "+1 555 123 4567"):
+            text = run + tail
+            pii.completed(text, 0, len(run), min(len(text), len(run) + 5))
+            pii.completed(text, 2, len(run) // 2, len(run) // 2 + 4)
+            pii.base_spans(text)
+    pii.find(["b" * 100000 + " x (at) y . com and " + "".join(g.choice("0123456789abcdef") for _ in range(20000))], net)
+    assert time.time() - began < 60
+
+
+def test_pii_sample_is_bounded(spark, monkeypatch):
+    from spendlens.llm import pii
+    monkeypatch.setattr(pii, "SAMPLE_DRAWN", 40)
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 20)
+    rows = [(k, f"text {k} " + "call +1 555 123 4567 " * (k % 3)) for k in range(3000)] + [(9, "one copy 7")] * 3000 + [(None, None), (1, ""), (2, "long 1 " * 9000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.sample(frame)
+    assert 0 < len(found) <= 20 and len(set(found)) == len(found) and all(len(t) <= pii.SAMPLE_EXCERPT for t in found)
+    assert found == pii.sample(frame.repartition(7))
+    assert pii.sample(frame.limit(0)) == []
