@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spendlens.functions.numeric import round_to
-from spendlens.operators import budget, datasets, reports, scoring
+from spendlens.operators import budget, datasets, outliers, reports, scoring
 from spendlens.session import materialize
 from spendlens.sources.testdata import facts
 
@@ -116,6 +116,9 @@ def analytics_queries() -> dict[str, Query]:
         "metric_ranking": _metric_ranking,
         "budget_share": _budget_share,
         "comparison_pct": lambda s, d: datasets.comparison_pct(_comparison(s, d)),
+        "spend_deviations": lambda s, d: outliers.deviations(facts(s, d)),
+        "spend_outliers": lambda s, d: outliers.outliers(facts(s, d)).select(
+            "channel", "week_start", "campaign_name", "spend", "median", "mad"),
         "flow_nodes": lambda s, d: datasets.flow_nodes(reports.spend_revenue_flow(facts(s, d))),
         "flow_links": lambda s, d: datasets.flow_links(reports.spend_revenue_flow(facts(s, d))),
     }

@@ -221,6 +221,21 @@ SELECT CAST(ord AS INTEGER) AS ord, insight FROM ins"""
 CAMPAIGN = "channel, campaign_name"
 
 
+def deviation_ctes() -> str:
+    """Exact medians and median distances by channel and week, and the bucket bounds that hold them."""
+    def bounds(x: str, name: str) -> str:
+        shift = f"greatest(length(bin(abs({x}))) - 8, 0)"
+        low = f"((abs({x}) >> {shift}) << {shift})"
+        high = f"({low} + (CAST(1 AS BIGINT) << {shift}) - 1)"
+        return f"{low} AS {name}_low, {high} AS {name}_high, ({low} + {high}) // 2 AS {name}"
+    return f"""cents AS (SELECT *, CAST(date_trunc('week', date) AS TIMESTAMP) AS week_start, CAST(round_even(spend * 100, 0) AS BIGINT) AS v FROM facts),
+mid0 AS (SELECT channel, week_start, count(*) AS rows, quantile_disc(v, 0.5) AS m FROM cents GROUP BY channel, week_start),
+mid AS (SELECT channel, week_start, rows, {bounds('m', 'median')} FROM mid0),
+mad0 AS (SELECT channel, week_start, quantile_disc(abs(v - median), 0.5) AS m FROM cents JOIN mid USING (channel, week_start) GROUP BY channel, week_start),
+mad AS (SELECT channel, week_start, {bounds('m', 'mad')} FROM mad0),
+dev AS (SELECT * FROM mid JOIN mad USING (channel, week_start))"""
+
+
 def analytics_sql() -> dict[str, str]:
     s: dict[str, str] = {}
     s["channel_summary"] = with_facts(summary_cte()) + "SELECT * FROM summary"
@@ -275,6 +290,11 @@ latest AS (
             (KPI_LABELS[2], roas_lbl("blended_roas"), "roas_delta"),
             (KPI_LABELS[3], currency("blended_cpa"), "cpa_delta")]))
     s["kpi_cards"] = with_facts(weekly_cte(), latest, blended) + cards
+    dev = "WITH " + ",\n".join([ORDER_LINES, FACTS, deviation_ctes()])
+    s["spend_deviations"] = dev + "\nSELECT * FROM dev"
+    s["spend_outliers"] = dev + """
+SELECT channel, week_start, campaign_name, spend, median, mad FROM cents JOIN dev USING (channel, week_start)
+WHERE mad > 0 AND abs(v - median) / (mad * CAST(1.4826 AS DOUBLE)) > 3.5"""
     s["pct_rank_avg"] = with_facts(summary_cte(dims=CAMPAIGN)) + \
         f"SELECT channel, campaign_name, roas, {pct_rank('roas')} AS pct_rank FROM summary"
     s["flag_underperformers"] = with_facts(summary_cte(dims=CAMPAIGN)) + \

@@ -176,3 +176,32 @@ def test_weekly_rollup_touches_only_the_batch_weeks(spark):
     plan = rollups.read_week_facts(spark, f"{base}/f").where(F.col("week").isin(["1995-02-06"]))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [week" in plan.replace("isnotnull(", "") or "PartitionFilters: [" in plan
     rows.unpersist()
+
+
+def test_sketch_quantiles_bound_the_exact_ones(spark):
+    import random
+
+    from spendlens.operators import outliers
+    g = random.Random(4)
+    rows = [(k % 3, int(g.lognormvariate(8, 3)) * (-1 if g.random() < 0.2 else 1)) for k in range(4000)] + [(3, 0), (4, 5), (4, 5), (5, None), (6, 2**62), (6, -2**62), (6, 255), (6, 256)]
+    df = spark.createDataFrame(rows, "k int, v long")
+    whole = outliers.sketch(df, "v", ["k"])
+    parts = outliers.sketch(df.where("v % 2 = 0"), "v", ["k"]).unionByName(outliers.sketch(df.where("v % 2 <> 0"), "v", ["k"]))
+    assert sorted(map(tuple, outliers.merge_sketches(parts, ["k"]).collect())) == sorted(map(tuple, whole.collect()))
+    for q in (0.0, 0.1, 0.5, 0.9, 1.0):
+        got = {r["k"]: r for r in outliers.quantile(whole, ["k"], q).collect()}
+        assert set(got) == {0, 1, 2, 3, 4, 6}
+        for k, r in got.items():
+            own = sorted(v for x, v in rows if x == k and v is not None)
+            exact = own[max(-(-int(len(own) * q * 1000) // 1000), 1) - 1]
+            assert r["low"] <= exact <= r["high"] and abs(r["middle"] - exact) <= max(abs(exact) / 256, 0.5), (q, k, exact, r)
+
+
+def test_outliers_are_found_and_none_without_spread(spark):
+    from spendlens.operators import outliers
+    rows = [("2024-01-02", "seo", float(100 + k % 7)) for k in range(200)] + [("2024-01-03", "seo", 900.0), ("2024-01-10", "seo", 900.0), (None, "seo", 1e9)]
+    rows += [("2024-01-02", "email", 5.0)] * 50 + [("2024-01-02", "email", 500.0)]
+    df = spark.createDataFrame(rows, "date string, channel string, spend double").withColumn("date", F.col("date").cast("timestamp_ntz"))
+    got = outliers.outliers(df).collect()
+    assert [(r["channel"], r["spend"]) for r in got] == [("seo", 900.0)] and got[0]["score"] > 3.5
+    assert outliers.outliers(df.limit(0)).count() == 0
