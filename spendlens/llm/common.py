@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A broadcast value.  It travels with its classes (see the package), which a plain broadcast leaves
+    to the worker's own copy of the library; a task unpacks it once."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.sent, self.own = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"sent": self.sent, "own": None}
+
+    @property
+    def value(self):
+        if self.own is None:
+            self.own = pickle.loads(self.sent.value)
+        return self.own
+
+    def unpersist(self) -> None:
+        self.sent.unpersist()
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id's text modulo ``parts`` (NULL for a NULL id)."""
     return F.crc32(doc_id.cast("string")) % parts

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped_bytes, table, texts, written
+from .common import Shared, grouped_bytes, table, texts, written
 from .toxicity import FOLD, GAP
 from .words import Vocabulary, word_hashes
 
@@ -214,7 +214,7 @@ def latent_space(kept: DataFrame, items: Items, own: list[np.ndarray], n: int) -
     basis = np.random.default_rng(23).normal(size=(size, width))
     weight = max(1.0, n / len(own))
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((items, basis.astype(np.float32)))
+        shared = Shared(spark, (items, basis.astype(np.float32)))
 
         def run(batches):
             it, q = shared.value
@@ -260,7 +260,7 @@ def search(kept: DataFrame, items: Items, basis: np.ndarray, mine: list[int]) ->
 
     own = [w for i in mine for w in items.parts[i]]
     row, word, value = vectors(items, own, scaled=False)
-    shared = kept.sparkSession.sparkContext.broadcast((items, basis.astype(np.float32), times(row, word, value, basis, len(own)).astype(np.float32)))
+    shared = Shared(kept.sparkSession, (items, basis.astype(np.float32), times(row, word, value, basis, len(own)).astype(np.float32)))
 
     def run(batches):
         it, q, targets = shared.value
@@ -303,9 +303,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in read_items(benchmark):
         if not items.longest:
             continue
-        shared = spark.sparkContext.broadcast(items)
+        shared = Shared(spark, items)
         items.weigh(*frequencies(d, shared))
-        shared = spark.sparkContext.broadcast(items)
+        shared = Shared(spark, items)
         every = written(passages(d, shared), "passages")
         found = None
         for r in every.groupBy("space").count().orderBy("space").collect():

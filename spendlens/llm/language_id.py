@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, grouped_bytes, table, texts
+from .common import Shared, fold, grouped_bytes, table, texts
 
 WIDTHS, FILTERS, LENGTH = (2, 3, 4), 16, 192
 #: Bound of the training sample: about so many windows of each language.
@@ -143,7 +143,7 @@ def apply(docs: DataFrame, net: Network | None) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of (doc_id, text, letters)."""
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = Shared(docs.sparkSession, net)
 
     def run(batches):
         model = shared.value

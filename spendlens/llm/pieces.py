@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import Shared, table, texts
 from .words import BASE, INVERSE, Vocabulary, mix, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -276,7 +276,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, n: int = NBEST) -> Data
     """
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(Pieces(path))
+    shared = Shared(docs.sparkSession, Pieces(path))
 
     def run(batches):
         model = shared.value
@@ -297,7 +297,7 @@ def query(spark: SparkSession, sf_dir: str, n: int = NBEST) -> DataFrame:
     of the N best segmentations, and how many of them decode to the text again."""
     import pyarrow as pa
 
-    shared = spark.sparkContext.broadcast(Pieces(MODEL))
+    shared = Shared(spark, Pieces(MODEL))
 
     def run(batches):
         model = shared.value

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import Shared, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 DIGITS = re.compile(r"[0-9]")
@@ -440,7 +440,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     import pyarrow as pa
 
     docs = table(spark, sf_dir, "documents")
-    shared = spark.sparkContext.broadcast(learn(docs))
+    shared = Shared(spark, learn(docs))
 
     def run(batches):
         for batch in batches:
@@ -469,7 +469,7 @@ def redact(text: str, spans: list) -> str:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind; other columns stay (n_chars follows)."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
+    shared = Shared(docs.sparkSession, learn(docs))
 
     @F.pandas_udf("string")
     def clean(column):

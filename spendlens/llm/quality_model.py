@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, grouped_bytes, table, texts, written
+from .common import Shared, fold, grouped_bytes, table, texts, written
 from .words import BYTE_VALUES, mix, prefix, runs, spans, windows, word_hashes
 
 NAMES = ("log_words", "word_mean", "word_spread", "upper", "digit", "mark", "symbol", "shout", "high",
@@ -129,7 +129,7 @@ def train(stats: DataFrame, labels: DataFrame) -> Scorer:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter(
         F.col("y").isin(0.0, 1.0) & (fold(F.col("doc_id"), HELD_PARTS) != HELD)).groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = written(stats.join(known, "doc_id").select("doc_id", "stats", "y").repartition(SUMS, "doc_id"), "quality-train")
-    shared = spark.sparkContext.broadcast(lift)
+    shared = Shared(spark, lift)
 
     def sums(batches):
         import pandas as pd
@@ -151,7 +151,7 @@ def train(stats: DataFrame, labels: DataFrame) -> Scorer:
     penalty = np.full(FEATURES + 1, RIDGE * max(n, 1.0))
     penalty[-1] = 1e-9
     beta = np.linalg.solve(a + np.diag(penalty), b)
-    model = spark.sparkContext.broadcast(Scorer(lift, beta, np.zeros(0), np.zeros(0)))
+    model = Shared(spark, Scorer(lift, beta, np.zeros(0), np.zeros(0)))
 
     def binned(batches):
         import pandas as pd
@@ -177,7 +177,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     stats = written(describe(texts(docs)), "quality-stats")
-    shared = docs.sparkSession.sparkContext.broadcast(train(stats, labels))
+    shared = Shared(docs.sparkSession, train(stats, labels))
 
     def run(batches):
         for batch in batches:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, grouped_bytes, table, texts
+from .common import Shared, fold, grouped_bytes, table, texts
 from .words import Vocabulary, spans, word_hashes
 
 #: Bound of the training sample: about so many labelled documents of each class.
@@ -123,7 +123,7 @@ def apply(docs: DataFrame, model: Model) -> DataFrame:
     the noisy-or score, and the worst sentence's score and byte span."""
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches):
         m = shared.value

@@ -311,3 +311,32 @@ def test_pii_sample_is_bounded(spark, monkeypatch):
     assert 0 < len(found) <= 20 and len(set(found)) == len(found) and all(len(t) <= pii.SAMPLE_EXCERPT for t in found)
     assert found == pii.sample(frame.repartition(7))
     assert pii.sample(frame.limit(0)) == []
+
+
+def test_workers_need_no_copy_of_the_library(tmp_path):
+    """Queries whose workers cannot import the package: its path is the driver's alone."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = tmp_path / "job.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {root!r})
+from spendlens.session import get_spark
+spark = get_spark("local[4]", shuffle_partitions=4)
+from spendlens.llm import queries
+def seen(_):
+    try:
+        import spendlens
+        return [1]
+    except ImportError:
+        return [0]
+assert spark.sparkContext.parallelize([1], 1).mapPartitions(seen).collect() == [0]
+for name in ("op7_decontamination", "op9_toxicity", "op10_language_id", "op11_resampling", "op12_vector_codes", "op13_token_counts", "op1_quality_model"):
+    print(name, queries.queries()[name](spark, "/root/testdata/sf0.001").count())
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert len([x for x in done.stdout.splitlines() if x.startswith("op")]) == 7
