@@ -38,8 +38,8 @@ RANK, SPARE, ROUNDS = 256, 8, 2
 SPACE = 240
 #: Items searched for at once: bounds the broadcast; more items take more rounds.
 ITEMS = 2000
-#: Vocabulary rows of a partial sum that travel together.
-SLICE = 4096
+#: Vocabulary rows of a partial sum that travel together, and parts that partitions' shares of a slice are added up in first.
+SLICE, SUM_PARTS = 4096, 32
 
 
 class Items:
@@ -205,9 +205,10 @@ def latent_space(kept: DataFrame, items: Items, own: list[np.ndarray], n: int) -
     vectors of the matrix of the ``n`` passages and the parts, by a randomised SVD.
 
     Each round multiplies by the matrix and its transpose: partitions sum their share, shares
-    add up by slices of the vocabulary.
+    add up by slices of the vocabulary, in parts of the partitions first.
     """
     import pandas as pd
+    from pyspark import TaskContext
 
     spark, size = kept.sparkSession, len(items.weights)
     width = min(RANK + SPARE, size)
@@ -225,10 +226,16 @@ def latent_space(kept: DataFrame, items: Items, own: list[np.ndarray], n: int) -
                 total += summed(word, times(row, word, value, q, len(found))[row] * value[:, None].astype(np.float32), len(total))
             for a in range(0, len(total), SLICE):
                 if total[a : a + SLICE].any():
-                    yield pd.DataFrame({"slice": [a // SLICE], "data": [total[a : a + SLICE].tobytes()]})
+                    yield pd.DataFrame({"slice": [a // SLICE], "part": [TaskContext.get().partitionId() % SUM_PARTS], "data": [total[a : a + SLICE].tobytes()]})
 
-        add = lambda pdf: pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "data": [sum(np.frombuffer(d) for d in pdf["data"]).tobytes()]})
-        sums = kept.select("head", "words").mapInPandas(run, "slice long, data binary").groupBy("slice").applyInPandas(add, "slice long, data binary").collect()
+        def add(pdf):
+            out = np.zeros(len(pdf["data"].iloc[0]) // 8)
+            for d in pdf["data"]:
+                out += np.frombuffer(d)
+            return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "part": [pdf["part"].iloc[0]], "data": [out.tobytes()]})
+
+        schema = "slice long, part long, data binary"
+        sums = kept.select("head", "words").mapInPandas(run, schema).groupBy("slice", "part").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema).collect()
         row, word, value = vectors(items, own)
         y = weight * summed(word, times(row, word, value, basis, len(own))[row] * value[:, None], size)
         for r in sums:
