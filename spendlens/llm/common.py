@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.session import shared_dir
+from spendlens.session import remove_dir, shared_dir
 
 #: Rows of one Arrow batch handed to Python; texts can be long.
 ARROW_ROWS = 256
@@ -24,14 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of the tables that this driver's operators have written, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table below the shared checkpoint folder and read it again: cuts the
-    lineage with files that every executor sees."""
+    lineage with files that every executor sees.  ``release`` deletes them."""
     path = shared_dir(df.sparkSession, name)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that operators have written between their steps, and tell how many; results that still
+    read them must have been saved before."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove_dir(spark, path)
+    return len(paths)
+
+
 class Shared:
     """A broadcast value.  It travels with its classes (see the package), which a plain broadcast leaves
     to the worker's own copy of the library; a task unpacks it once."""

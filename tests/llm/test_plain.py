@@ -231,3 +231,14 @@ def test_pieces_query_columns(spark, small):
         assert (got[i]["n_pieces"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert got[i]["n_segmentations"] == len(found) == got[i]["n_round_trips"] and got[i]["score"] == found[0][0]
         assert all(m.decode(x) == text for _, x in found)
+
+
+def test_written_tables_can_be_released(spark):
+    import os
+
+    from spendlens.session import local_path
+    common.release(spark)
+    out = common.written(spark.range(5).toDF("x"), "kept")
+    path = local_path(out.inputFiles()[0]).rsplit("/", 1)[0]
+    assert out.count() == 5 and os.path.isdir(path)
+    assert common.release(spark) == 1 and not os.path.exists(path) and common.release(spark) == 0
