@@ -101,3 +101,12 @@ def test_stream_takes_quoted_line_breaks(spark):
     incremental_ingest(spark, paths)
     got = sorted((r["_row"], r["campaign_name"], r["clicks"]) for r in read_ingested(spark, paths).collect())
     assert got == expected(text)
+
+
+def test_header_names_that_differ_in_case_alone(spark):
+    d = local_path(shared_dir(spark, "t-case"))
+    head = ["organic clicks", *HEADER, "DATE", "Notes", "Notes"]
+    put(f"{d}/x.csv", ",".join(head) + "\n" + "9,2024/08/01,/x,1,2,3,1,5,z,n,m\n")
+    scan = read_exports(spark, d)
+    assert [(r["campaign_name"], r["clicks"], str(r["date"])[:10]) for r in scan.facts.collect()] == [("/x", 2, "2024-08-01")]
+    assert scan.rejects.count() == 0
