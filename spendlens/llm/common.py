@@ -48,19 +48,16 @@ def release(spark: SparkSession) -> int:
 
 class Shared:
     """A broadcast value.  It travels with its classes (see the package), which a plain broadcast leaves
-    to the worker's own copy of the library; a task unpacks it once."""
+    to the worker's own copy of the library; a worker unpacks it once for all its tasks."""
 
     def __init__(self, spark: SparkSession, value):
-        self.sent, self.own = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
-
-    def __getstate__(self):
-        return {"sent": self.sent, "own": None}
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
     @property
     def value(self):
-        if self.own is None:
-            self.own = pickle.loads(self.sent.value)
-        return self.own
+        if not hasattr(self.sent, "unpacked"):  # a worker keeps the broadcast between tasks
+            self.sent.unpacked = pickle.loads(self.sent.value)
+        return self.sent.unpacked
 
     def unpersist(self) -> None:
         self.sent.unpersist()
