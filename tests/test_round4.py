@@ -42,3 +42,10 @@ def test_platform_layouts_read_one_written_table(spark):
     for p, raw in raws.items():
         assert "parquet" in plan(raw) and "Join" not in plan(raw) and "RDD" not in plan(raw)
         assert raw.exceptAll(raw_rows(spark, SF001, p)).count() == 0
+
+
+def test_texts_meet_few_guards(spark):
+    df = spark.createDataFrame([("13/08/2024",), ("2024.8.9",), ("Aug 9, 2024",), ("20240809",), ("INVALID",), ("nan",)], "s string")
+    got = df.select(parse_dates("s").alias("d"), parse_number("s").alias("n"))
+    assert "Contains(" in plan(got) and not any(t in plan(got) for t in NA_TOKENS if len(t) > 4)
+    assert [str(r["d"])[:10] for r in got.collect()] == ["2024-08-13", "2024-08-09", "2024-08-09", "2024-08-09", "None", "None"]
