@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from spendlens.schema import FACT_COLUMNS
 from spendlens.session import path_exists
-from spendlens.sources.exports import _fact_lineage_schema, read_exports
+from spendlens.sources.exports import BROADCAST_RANGES, _fact_lineage_schema, read_exports
 
 LEDGER = ("name string, file string, length bigint, modified timestamp, attempt int, "
           "outcome string, stage string, reason string, run int")
@@ -36,11 +36,17 @@ class LedgerPaths:
 
 def _name(uri: Column) -> Column:
     """A file's name from a URI, escapes resolved ('+' is no escape)."""
-    return F.url_decode(F.replace(F.regexp_extract(uri, r"([^/]+)$", 1), F.lit("+"), F.lit("%2B")))
+    name = _listed_name(uri)
+    return F.when(F.contains(name, F.lit("%")), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).otherwise(name)
 
 
 def _listed_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)$", 1)
+    return F.substring_index(path, "/", -1)
+
+
+def _few(per_file: DataFrame, files: int) -> DataFrame:
+    """A table of one row a file, broadcast to the rows as long as the files are few."""
+    return F.broadcast(per_file) if files <= BROADCAST_RANGES else per_file
 
 
 def _read(spark: SparkSession, schema, path: str) -> DataFrame:
@@ -93,9 +99,11 @@ def ingest_pending(spark: SparkSession, paths: LedgerPaths, strict_headers: bool
     schema = T._parse_datatype_string("name string, file string, length bigint, modified timestamp, attempt int")
     files = spark.createDataFrame(todo, schema)
     scan = read_exports(spark, [r["file"] for r in todo], strict_headers)
-    facts = scan.facts.withColumn("name", _name(F.col("_source"))).join(files.select("name", "attempt"), "name")
-    (facts.select(*FACT_COLUMNS, "_source", "_row", "name", "attempt").hint("rebalance", "name")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    facts = scan.facts.withColumn("name", _name(F.col("_source"))).join(_few(files.select("name", "attempt"), len(todo)), "name")
+    facts = facts.select(*FACT_COLUMNS, "_source", "_row", "name", "attempt")
+    if len(todo) > BROADCAST_RANGES:  # else a task of the scan holds whole ranges of few files
+        facts = facts.hint("rebalance", "name")
+    (facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("name", "attempt").parquet(paths.facts))
     # of one file's faults the first by stage and text
     bad = scan.rejects.groupBy(F.coalesce(_name(F.col("file")), _listed_name(F.col("file"))).alias("name")).agg(
@@ -113,4 +121,5 @@ def read_loaded(spark: SparkSession, paths: LedgerPaths) -> DataFrame:
     """The facts of every file's latest loaded attempt."""
     schema = T.StructType(_fact_lineage_schema().fields + [T.StructField("name", T.StringType()), T.StructField("attempt", T.IntegerType())])
     loaded = latest(read_ledger(spark, paths).where(F.col("outcome") == LOADED)).select("name", "attempt")
+    loaded = _few(loaded, loaded.count())
     return _read(spark, schema, paths.facts).join(loaded, ["name", "attempt"], "left_semi").drop("name", "attempt")

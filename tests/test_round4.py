@@ -36,6 +36,18 @@ def no_shuffle_of_facts(monkeypatch, spark):
     monkeypatch.setattr(kind, "hint", hint)
 
 
+def test_ledger_writes_and_reads_facts_without_a_shuffle(spark, monkeypatch):
+    d = local_path(shared_dir(spark, "t4-ledger"))
+    for name in ("a b+c%20.csv", "plain.csv"):
+        put(f"{d}/landing/{name}", f"{HEADER}\n2024/08/01,/x,1,2,3,1,5\n2024/08/02,/y,1,4,3,1,5\n")
+    paths = LedgerPaths(f"{d}/landing", f"{d}/facts", f"{d}/ledger")
+    no_shuffle_of_facts(monkeypatch, spark)
+    assert ingest_pending(spark, paths) == 2 and ingest_pending(spark, paths) == 0
+    loaded = read_loaded(spark, paths)
+    assert "broadcast" in plan(loaded)
+    assert sorted(r["clicks"] for r in loaded.collect()) == [2, 2, 4, 4]
+
+
 def test_platform_layouts_read_one_written_table(spark):
     from spendlens.plans.ingest_catalog import _raws
     raws = _raws(spark, SF001)
