@@ -48,6 +48,15 @@ def test_ledger_writes_and_reads_facts_without_a_shuffle(spark, monkeypatch):
     assert sorted(r["clicks"] for r in loaded.collect()) == [2, 2, 4, 4]
 
 
+def test_stream_writes_facts_without_a_shuffle(spark, monkeypatch):
+    d = local_path(shared_dir(spark, "t4-stream"))
+    put(f"{d}/landing/x.csv", f"{HEADER}\n2024/08/01,/x,1,2,3,1,5\n")
+    no_shuffle_of_facts(monkeypatch, spark)
+    paths = IngestPaths(f"{d}/landing", f"{d}/facts", f"{d}/rejects", f"{d}/ckpt")
+    incremental_ingest(spark, paths)
+    assert [r["clicks"] for r in read_ingested(spark, paths).collect()] == [2]
+
+
 def test_platform_layouts_read_one_written_table(spark):
     from spendlens.plans.ingest_catalog import _raws
     raws = _raws(spark, SF001)
