@@ -65,6 +65,18 @@ def test_platform_layouts_read_one_written_table(spark):
         assert raw.exceptAll(raw_rows(spark, SF001, p)).count() == 0
 
 
+def test_lines_become_records_an_array_at_a_time():
+    import pyarrow as pa
+    r = _Range("f", 5, True)
+    r.lines(pa.array(['rest"', "a,b\r", "", " \x1c ", 'c,"d', "", 'e"\r']))
+    r.lines(pa.array(["中", " ", 'open "']))
+    r.lines(pa.array(["more"]))
+    r.end()
+    got = [tuple(x.values()) for b in r.rows for x in b.to_pylist()]
+    assert got == [("f", 5, -1, HEAD, 'rest"'), ("f", 5, 0, WHOLE, "a,b"), ("f", 5, 1, WHOLE, 'c,"d\n\ne"'), ("f", 5, 2, WHOLE, "中"),
+                   ("f", 5, 3, TAIL, 'open "\nmore')]
+
+
 def test_texts_meet_few_guards(spark):
     df = spark.createDataFrame([("13/08/2024",), ("2024.8.9",), ("Aug 9, 2024",), ("20240809",), ("INVALID",), ("nan",)], "s string")
     got = df.select(parse_dates("s").alias("d"), parse_number("s").alias("n"))
