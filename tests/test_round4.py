@@ -65,6 +65,16 @@ def test_platform_layouts_read_one_written_table(spark):
         assert raw.exceptAll(raw_rows(spark, SF001, p)).count() == 0
 
 
+def test_names_are_normalised_once_a_file(spark):
+    rows = [(p, list(PLATFORM_COLUMNS[p].values())) for p in EXPECTED_HEADERS]
+    rows += [("seo", ["x"]), ("none", ["a", "Day"]), ("empty", []), ("null", None), ("tie", ["Campaign", "Cost", "Clicks", "Conversions", "Day", "Opens"])]
+    got = detect_platform(spark.createDataFrame(rows, "file string, names array<string>"))
+    assert plan(got).count("lower(") == 1
+    got = {r["file"]: (r["platform"], r["confidence"]) for r in got.collect()}
+    assert got == {**{p: (p, 1.0) for p in EXPECTED_HEADERS}, "none": (None, 1 / 7), "empty": (None, 0.0), "null": (None, None),
+                   "tie": ("google_ads", 5 / 7)}
+
+
 def test_lines_become_records_an_array_at_a_time():
     import pyarrow as pa
     r = _Range("f", 5, True)
