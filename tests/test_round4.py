@@ -92,3 +92,24 @@ def test_texts_meet_few_guards(spark):
     got = df.select(parse_dates("s").alias("d"), parse_number("s").alias("n"))
     assert "Contains(" in plan(got) and not any(t in plan(got) for t in NA_TOKENS if len(t) > 4)
     assert [str(r["d"])[:10] for r in got.collect()] == ["2024-08-13", "2024-08-09", "2024-08-09", "2024-08-09", "None", "None"]
+
+
+def test_quoted_files_of_two_layouts_keep_their_ranges(spark):
+    from spendlens.sources.exports import read_exports
+    d = local_path(shared_dir(spark, "t4-ranges"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+            if spark.conf.get(k, None)}
+    for p in ("seo", "email"):
+        date = "2024/08/01" if p == "seo" else "01-Aug-2024"
+        rows = "".join(f'{date},"x\nnote ""\n"", {k}",1,{k},3,1,5\n' for k in range(3000 if p == "seo" else 900))
+        put(f"{d}/{p}.csv", ",".join(PLATFORM_COLUMNS[p].values()) + "\n" + rows)
+    try:  # ranges follow from the bytes that are read together
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.minPartitionNum", "7")
+        got = read_exports(spark, d).facts.groupBy("channel").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert {r["channel"]: r["count"] for r in got} == {"seo": 3000, "email": 900}
