@@ -33,28 +33,20 @@ def type_profile(raw: DataFrame, platform: str, strict_headers: bool = True,
                         *[c.alias(f"__{u}") for u, c in text.items()],
                         clean_date_text(text["date"]).alias("__clean"))
 
-    kinds = len(COUNTS) - 1
-
-    def bits(k: int, u: str) -> Column:
+    def marks(u: str) -> Column:
         c = F.col(f"__{u}")
-        is_date = parse_dates(F.col("__clean"), cleaned=True).isNotNull() if u == "date" else F.lit(False)
-        out = F.lit(0)
-        for j, m in enumerate([is_na_token(c), is_whole_number(c), parse_number(c).isNotNull(), is_date]):
-            out = out + F.when(m, 1 << (k * kinds + j)).otherwise(0)
-        return out
-
-    # rows with equal marks are counted together: one sum a task and row in place of one a class
-    marks = F.lit(0)
-    for k, u in enumerate(cols):
-        marks = marks + bits(k, u)
-    marked = staged.select("file", marks.alias("__marks")).groupBy("file", "__marks").agg(F.count(F.lit(1)).alias("__n"))
-
-    def counted_bit(at: int) -> Column:
-        return F.sum(F.when(F.col("__marks").bitwiseAND(F.lit(1 << at)) != 0, F.col("__n")).otherwise(F.lit(0))).cast("bigint")
-
+        number = parse_number(c)
+        return F.struct(
+            is_na_token(c).cast("int").alias("missing"),
+            is_whole_number(c).cast("int").alias("integers"),
+            number.isNotNull().cast("int").alias("numbers"),
+            (parse_dates(F.col("__clean"), cleaned=True).isNotNull().cast("int") if u == "date"
+             else F.lit(0)).alias("dates"))
+
+    marked = staged.select("file", *[marks(u).alias(u) for u in cols])
     counted = marked.groupBy("file").agg(
-        F.sum("__n").cast("bigint").alias("rows"),
-        *[counted_bit(k * kinds + j).alias(f"{u}_{c}") for k, u in enumerate(cols) for j, c in enumerate(COUNTS[1:])])
+        F.count(F.lit(1)).alias("rows"),
+        *[F.coalesce(F.sum(F.col(u)[k]), F.lit(0)).cast("bigint").alias(f"{u}_{k}") for u in cols for k in COUNTS[1:]])
     per_column = F.array(*[F.struct(
         F.lit(u).alias("unified"), F.lit(c).alias("column"), F.col("rows"),
         *[F.col(f"{u}_{k}").alias(k) for k in COUNTS[1:]]) for u, c in cols.items()])
