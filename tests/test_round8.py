@@ -10,6 +10,8 @@ from spendlens.plans import ingest_catalog
 from spendlens.schema import PLATFORMS
 from spendlens.session import checkpoint_root, held, local_path, shared_dir, written
 from spendlens.sources.testdata import RAW_CAMPAIGN_PREFIX, order_lines
+from spendlens.streaming import ingest
+from spendlens.streaming.ingest import IngestPaths, _portions, incremental_ingest, read_ingested
 
 
 @pytest.fixture()
@@ -74,3 +76,75 @@ def test_held_tables_go_and_their_shuffles(spark, orders_dir):
     assert written(spark.range(3), "held").count() == 3
     assert spark.conf.get(key) == kept
     assert len(left) <= 1  # that of the count
+
+
+SEO = "Date,Page/Campaign,Organic Cost,Organic Clicks,Organic Impressions,Goal Completions,Assisted Revenue\n"
+EMAIL = "Send Date,Campaign,Cost,Clicks,Opens,Conversions,Revenue\n"
+
+
+def put(path, text):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write(text)
+
+
+def test_portions_hold_whole_files_in_order():
+    files = [("c", 4), ("a", 6), ("b", 5), ("e", 30), ("d", 1)]
+    assert _portions(files, 11) == [["a", "b"], ["c", "d"], ["e"]]
+    assert _portions(files, 100) == [["a", "b", "c", "d", "e"]]
+    assert _portions(files, 1) == [["a"], ["b"], ["c"], ["d"], ["e"]]
+
+
+def test_a_micro_batch_is_read_in_portions(spark, monkeypatch):
+    base = local_path(shared_dir(spark, "t-portions"))
+    paths = IngestPaths(f"{base}/landing", f"{base}/facts", f"{base}/rejects", f"{base}/ckpt")
+    put(f"{base}/landing/1/seo.csv", SEO + "2024/08/01,/a,1,2,3,1,5\n2024/08/02,\"/b\nnote\",1,3,3,1,5\n")
+    put(f"{base}/landing/2/seo_more.csv", SEO + "2024/08/03,/c,1,4,3,1,5\n")
+    put(f"{base}/landing/2/email.csv", EMAIL + "01-Aug-2024,x,1,5,3,1,5\n")
+    put(f"{base}/landing/3/long.csv", EMAIL + "01-Aug-2024,x,1,5,3,1,5,9,9\n")
+    put(f"{base}/landing/3/junk.csv", "x,y\n1,2\n")
+    put(f"{base}/landing/4/seo.csv", SEO + "2024/08/04,/twin,1,6,3,1,5\n")  # one listing: both of a name are taken
+    before, most, visible = below(spark, "raw"), [], []
+
+    def reading(spark, files, strict, read=ingest.read_exports):
+        visible.append(read_ingested(spark, paths).count() if os.path.isdir(paths.facts) else 0)
+        scan = read(spark, files, strict)
+        most.append(len(below(spark, "raw") - before))
+        return scan
+    monkeypatch.setattr(ingest, "read_exports", reading)
+    incremental_ingest(spark, paths, portion_bytes=1)
+    assert len(most) == 6 and max(most) == 1  # raw tables of one portion at a time
+    assert visible == [0] * 6  # nothing is seen of a batch that is not whole
+    facts = [("email", "x", 5, 0, 0), ("seo", "/a", 2, 0, 0), ("seo", "/b\nnote", 3, 1, 0), ("seo", "/c", 4, 0, 0), ("seo", "/twin", 6, 0, 0)]
+    rows = lambda: sorted((r.channel, r.campaign_name, r.clicks, r["_row"], r.ingest_batch) for r in read_ingested(spark, paths).collect())
+    assert rows() == facts
+    rejects = {(r.file.rsplit("/", 1)[1], r.stage, r.ingest_batch) for r in spark.read.parquet(paths.rejects).collect()}
+    assert rejects == {("junk.csv", "detect", 0), ("long.csv", "parse", 0)}
+    incremental_ingest(spark, paths, portion_bytes=1)  # nothing new
+    assert len(most) == 6 and rows() == facts
+    # what a broken run left of a batch is not added to its replay
+    listed = spark.createDataFrame([(f"file://{base}/landing/2/email.csv", 1)], "path string, length long")
+    put(f"{paths.facts}/_batch-1/channel=email/part-0.parquet", "torn")
+    for _ in range(2):
+        ingest._process(spark, paths, True)(listed, 1)
+    assert rows() == sorted([*facts, ("email", "x", 5, 0, 1)])
+    files = glob.glob(f"{paths.facts}/ingest_batch=*/channel=*/*.parquet")
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
+def test_a_batch_of_refused_files_has_no_facts(spark):
+    base = local_path(shared_dir(spark, "t-refused"))
+    paths = IngestPaths(f"{base}/landing", f"{base}/facts", f"{base}/rejects", f"{base}/ckpt")
+    put(f"{base}/landing/junk.csv", "x,y\n1,2\n")
+    incremental_ingest(spark, paths)
+    assert read_ingested(spark, paths).count() == 0
+    assert [(r.stage, r.ingest_batch) for r in spark.read.parquet(paths.rejects).collect()] == [("detect", 0)]
+    put(f"{base}/landing/email.csv", EMAIL + "01-Aug-2024,x,1,5,3,1,5\n")
+    incremental_ingest(spark, paths)
+    assert [(r.channel, r.ingest_batch) for r in read_ingested(spark, paths).collect()] == [("email", 1)]
+
+
+def test_the_ingests_source_goes_once_the_exports_are_written(spark, orders_dir):
+    before = below(spark, "order-lines"), below(spark, "raw")
+    assert ingest_catalog._incremental(spark, orders_dir).count() == 20  # every line in every layout
+    assert (below(spark, "order-lines"), below(spark, "raw")) == before
